@@ -6,9 +6,11 @@ executors and the driver share.  Only where that is unset (tests, a notebook) a
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,18 @@ WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[0x30:0x3A] = WORD_BYTE[0x61:0x7B] = WORD_BYTE[0x80:] = True
 
 
+def on_workers(spark: SparkSession) -> SparkSession:
+    """Lets Python workers started on this machine import the package wherever the driver was started.
+    On a cluster the package is deployed with the job (--py-files or the image)."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,17 +2,51 @@
 
 from __future__ import annotations
 
-from .common import table
+import uuid
+
+from pyspark.sql import functions as F
+
+from .common import shared_dir, table
 from .license_scan import license_digest
+from .mixing import mix_digest
+from .packing import pack
 from .secret_scan import secret_digest
+from .token_rollup import RollupStore, counted, deletes, inserts, revisions
+from .toxicity import toxicity_digest
 
 
 def op1_license_scan(spark, sf_dir):
     return license_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark, sf_dir):
+    return mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_token_rollup(spark, sf_dir):
+    """Totals after four commits: all documents under two tokenizer versions, the same batch again (no effect),
+    deletes of documents labelled as low quality, and revised counts of the rest under a newer alnum rule."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    low = labels.where(F.col("quality") == 0).select("doc_id").distinct()
+    store = RollupStore(spark, f"{shared_dir(spark)}/ledgerframe/rollup-{uuid.uuid4().hex}")
+    counts = counted(docs, ("words-1", "alnum-1"))
+    store.commit("2024-01-load", inserts(counts))
+    store.commit("2024-01-load", inserts(counts))
+    store.commit("2024-02-removal", deletes(counts.join(low, "doc_id", "left_semi")))
+    store.commit("2024-03-revision", revisions(docs.join(low, "doc_id", "left_anti"), "alnum-1", "alpha-2"))
+    return store.totals()
+
+
 def op7_secret_scan(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op7_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op4_mixing, op5_toxicity, op6_token_rollup, op7_secret_scan)}
