@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTE, columns, crc_of_id, kept, run_hashes, slices, text_buffer, word_runs
+from .common import LOWER, SLICE_BYTES, WORD_BYTE, columns, crc_of_id, kept, run_hashes, slices, text_buffer, word_runs
 
 #: Word lists of the static voters (fixed values).
 INSULTS = "idiot idiots moron morons loser losers clown clowns imbecile dumb dumbass fool fools jerk scum trash".split()
@@ -198,49 +198,68 @@ class ToxicityModel:
         return np.bincount(r, self.weights[h], minlength=n) / np.maximum(np.bincount(r, minlength=n), 1)
 
 
-def _known_features(texts: pa.Array, y: np.ndarray, spec: ToxicitySpec) -> tuple[np.ndarray, np.ndarray]:
-    """Words and beginnings that mark class 1 in the sample, and the lexicon group of each."""
+def _joined(reads: list[dict]) -> dict:
+    """Readings of several slices as one."""
+    base = np.cumsum([0] + [len(x["n_words"]) for x in reads])
+    out = {k: np.concatenate([x[k] for x in reads]) for k in reads[0] if k != "rows"}
+    return out | {"rows": np.concatenate([x["rows"] + b for x, b in zip(reads, base)])}
+
+
+def _slice_features(texts: pa.Array):
+    """(row, word number, numbers of the word before) by kind of feature, of one slice."""
     raw, at = text_buffer(texts)
     data = LOWER[raw]
     starts, ends, n_words = word_runs(data, at, WORD_BYTE)
     row = np.repeat(np.arange(len(n_words)), n_words)
-    names, toxic, clean, contexts = [], [], [], []
     kinds = word_features(data, starts, ends)
     before = np.concatenate([[np.uint64(0)], kinds[0][:-1]]) if len(kinds[0]) else kinds[0]
-    marked = y[row] == 1
     for h in kinds:
-        r, v = distinct_pairs(row[h != 0], h[h != 0])
-        u, inv = np.unique(v, return_inverse=True)
-        names.append(u)
-        toxic.append(np.bincount(inv, y[r] == 1, minlength=len(u)))
-        clean.append(np.bincount(inv, y[r] == 0, minlength=len(u)))
-        here = marked & (h != 0)
-        f, _ = distinct_pairs(h[here], before[here])  # copies of one text repeat its words after the same words
-        contexts.append(np.searchsorted(f, u, side="right") - np.searchsorted(f, u, side="left"))
-    names, toxic, clean, contexts = map(np.concatenate, (names, toxic, clean, contexts))
-    n1, n0 = max((y == 1).sum(), 1), max((y == 0).sum(), 1)
+        yield row[h != 0], h[h != 0], before[h != 0]
+
+
+def _known_features(sample, n1: int, n0: int, spec: ToxicitySpec) -> tuple[np.ndarray, np.ndarray]:
+    """Words and beginnings that mark class 1 in the sample, and the lexicon group of each.  `sample()` gives
+    slices (texts, classes) of the sample, each time from its start."""
+    least = max(spec.least_rows, spec.least_share * n1)
+    seen, pairs = [], []
+    for texts, y in sample():
+        for row, h, before in _slice_features(texts):
+            marked = y[row] == 1
+            seen.append(distinct_pairs(row[marked], h[marked])[1])
+            pairs.append(np.unique(np.stack([h[marked], before[marked]], 1), axis=0))
+    names, toxic = np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)]), return_counts=True)
+    names, toxic = names[toxic >= least], toxic[toxic >= least]
+    # copies of one text repeat its words after the same words; a mark stands in contexts of its own
+    pairs = [p[_member(names, p[:, 0]) >= 0] for p in pairs]
+    found = np.unique(np.concatenate(pairs or [np.zeros((0, 2), np.uint64)]), axis=0)[:, 0]
+    contexts = np.searchsorted(found, names, side="right") - np.searchsorted(found, names, side="left")
+    clean = np.zeros(len(names))
+    for texts, y in sample():
+        for row, h, _ in _slice_features(texts):
+            at = _member(names, h)
+            ok = (at >= 0) & (y[row] == 0)
+            clean += np.bincount(distinct_pairs(row[ok], at[ok])[1], minlength=len(names))
     gain = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
     # words that only speak for class 0 would count against a text the longer it is; silence of the marks does that
-    strength = np.where((gain > np.log(spec.odds)) & (np.minimum(toxic, contexts) >= max(spec.least_rows, spec.least_share * n1)), (toxic / n1 - clean / n0) / np.sqrt((toxic + clean + 1) / (n1 + n0)), 0)
+    strength = np.where((gain > np.log(spec.odds)) & (contexts >= least), (toxic / max(n1, 1) - clean / max(n0, 1)) / np.sqrt((toxic + clean + 1) / (n1 + n0)), 0)
     best = np.argsort(-strength, kind="stable")[: spec.most_features]
     best = np.sort(best[strength[best] > 0])
-    best = best[np.argsort(names[best])]
     return names[best], (names[best] >> np.uint64(40)).astype(np.int64) % spec.groups
 
 
-def fit_model(texts: pa.Array, y: np.ndarray, spec: ToxicitySpec = ToxicitySpec()) -> ToxicityModel:
-    """Voters, label model and classifier from a sample of labelled texts."""
-    names, group = _known_features(texts, y, spec) if len(y) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def fit_model(sample, y: np.ndarray, spec: ToxicitySpec = ToxicitySpec()) -> ToxicityModel:
+    """Voters, label model and classifier from a sample of labelled texts: `sample()` gives its slices
+    (texts, classes), y all classes in that order."""
+    names, group = _known_features(sample, int((y == 1).sum()), int((y == 0).sum()), spec)
     scanner = Scanner(names, group)
-    probe = ToxicityModel(scanner, np.zeros(len(names)), np.zeros(0), 0.0)
     if not len(y):
         voters = scanner.votes(scanner.read(pa.array([""]))).shape[1]
         w = np.zeros(2 * voters + 5)
         w[:2], w[2 * voters + 1] = 1.5, 1.0
         return ToxicityModel(scanner, np.zeros(0), w, -3.0)
-    x = scanner.read(texts)
+    x = _joined([scanner.read(texts) for texts, _ in sample()])
     label_model = LabelModel(spec.rounds).fit(scanner.votes(x), y)
-    goal, dense = label_model.trained, probe.inputs(x)
+    goal, dense = label_model.trained, ToxicityModel(scanner, np.zeros(len(names)), np.zeros(0), 0.0).inputs(x)
     r, h = distinct_pairs(x["rows"], x["hits"])
     each = 1 / np.maximum(np.bincount(r, minlength=len(y)), 1)[r]
     w, v, b = np.zeros(len(names)), np.zeros(dense.shape[1]), 0.0
@@ -268,8 +287,23 @@ def learn(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
         chosen = part if chosen is None else chosen.unionAll(part)
     chosen = kept(chosen, "toxicity-sample")
     d = columns(docs, doc_id="bigint", text="string")
-    sample = d.join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # at most 2 * sample_rows ids
-    return fit_model(sample["text"].combine_chunks(), sample["toxic"].to_numpy(), spec)
+    # at most 2 * sample_rows ids; their texts stay in the shared folder and pass the driver a slice at a time
+    rows = kept(d.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")), "toxicity-rows")
+    y = np.array([r.toxic for r in rows.select("doc_id", "text", "toxic").orderBy("doc_id", F.xxhash64("text")).select("toxic").collect()], np.int64)
+
+    def sample():
+        texts, classes, size = [], [], 0
+        for r in rows.orderBy("doc_id", F.xxhash64("text")).toLocalIterator():
+            texts.append(r.text)
+            classes.append(r.toxic)
+            size += len(r.text or "")
+            if size >= SLICE_BYTES // 4:
+                yield pa.array(texts, pa.string()), np.array(classes)
+                texts, classes, size = [], [], 0
+        if texts:
+            yield pa.array(texts, pa.string()), np.array(classes)
+
+    return fit_model(sample, y, spec)
 
 
 def score_with(docs: DataFrame, model: ToxicityModel, keep_all: bool = False) -> DataFrame:
