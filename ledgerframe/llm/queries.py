@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import kept, shared_dir, table
 from .license_scan import license_digest
 from .mixing import mix_digest
+from .near_dedup import near_digest
 from .packing import pack
 from .secret_scan import secret_digest
 from .token_rollup import RollupStore, counted, deletes, inserts, revisions
@@ -37,11 +38,13 @@ def op6_token_rollup(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     low = labels.where(F.col("quality") == 0).select("doc_id").distinct()
     store = RollupStore(spark, f"{shared_dir(spark)}/ledgerframe/rollup-{uuid.uuid4().hex}")
-    counts = counted(docs, ("words-1", "alnum-1"))
-    store.commit("2024-01-load", inserts(counts))
-    store.commit("2024-01-load", inserts(counts))
-    store.commit("2024-02-removal", deletes(counts.join(low, "doc_id", "left_semi")))
-    store.commit("2024-03-revision", revisions(docs.join(low, "doc_id", "left_anti"), "alnum-1", "alpha-2"))
+    # counted once; what is joined and summed later is a few numbers a document
+    counts = kept(counted(docs, ("words-1", "alnum-1", "alpha-2")), "rollup-counts")
+    both = ("words-1", "alnum-1")
+    store.commit("2024-01-load", inserts(counts, both))
+    store.commit("2024-01-load", inserts(counts, both))
+    store.commit("2024-02-removal", deletes(counts.join(low, "doc_id", "left_semi"), both))
+    store.commit("2024-03-revision", revisions(counts.join(low, "doc_id", "left_anti"), "alnum-1", "alpha-2"))
     return store.totals()
 
 
@@ -49,4 +52,8 @@ def op7_secret_scan(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op4_mixing, op5_toxicity, op6_token_rollup, op7_secret_scan)}
+def op9_near_dedup(spark, sf_dir):
+    return near_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op4_mixing, op5_toxicity, op6_token_rollup, op7_secret_scan, op9_near_dedup)}

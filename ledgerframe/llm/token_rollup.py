@@ -27,10 +27,9 @@ KEY = ("source", "lang", "tokenizer")
 
 
 def counted(docs: DataFrame, tokenizers: tuple[str, ...]) -> DataFrame:
-    """doc_id, source, lang, tokenizer, tokens for each document and tokenizer version, in one pass."""
+    """doc_id, source, lang, and a column of counts for each tokenizer version, in one pass over the texts."""
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    each = [F.struct(F.lit(t).alias("tokenizer"), F.regexp_count(text, F.lit(TOKENIZERS[t])).cast("bigint").alias("tokens")) for t in tokenizers]
-    return docs.select("doc_id", "source", "lang", F.inline(F.array(*each)))
+    return docs.select("doc_id", "source", "lang", *[F.regexp_count(text, F.lit(TOKENIZERS[t])).cast("bigint").alias(t) for t in tokenizers])
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -41,19 +40,21 @@ def signed(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*KEY).agg(F.sum(docs).cast("bigint").alias("docs"), F.sum(tokens).cast("bigint").alias("tokens"))
 
 
-def inserts(counts: DataFrame) -> DataFrame:
-    return counts.select(*KEY, F.lit(None).cast("bigint").alias("before"), F.col("tokens").alias("after"))
+def inserts(counts: DataFrame, tokenizers: tuple[str, ...]) -> DataFrame:
+    """Changes that add every document of `counts` under each tokenizer version."""
+    each = [F.struct(F.lit(t).alias("tokenizer"), F.lit(None).cast("bigint").alias("before"), F.col(f"`{t}`").alias("after")) for t in tokenizers]
+    return counts.select("source", "lang", F.inline(F.array(*each)))
 
 
-def deletes(counts: DataFrame) -> DataFrame:
-    return counts.select(*KEY, F.col("tokens").alias("before"), F.lit(None).cast("bigint").alias("after"))
+def deletes(counts: DataFrame, tokenizers: tuple[str, ...]) -> DataFrame:
+    """Changes that take every document of `counts` away again."""
+    each = [F.struct(F.lit(t).alias("tokenizer"), F.col(f"`{t}`").alias("before"), F.lit(None).cast("bigint").alias("after")) for t in tokenizers]
+    return counts.select("source", "lang", F.inline(F.array(*each)))
 
 
-def revisions(docs: DataFrame, tokenizer: str, rule: str) -> DataFrame:
-    """Counts of `tokenizer` revised to what the pattern of `rule` finds."""
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    count = lambda t: F.regexp_count(text, F.lit(TOKENIZERS[t])).cast("bigint")
-    return docs.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), count(tokenizer).alias("before"), count(rule).alias("after"))
+def revisions(counts: DataFrame, tokenizer: str, by: str) -> DataFrame:
+    """Changes that revise the counts of `tokenizer` to those of column `by`."""
+    return counts.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(f"`{tokenizer}`").alias("before"), F.col(f"`{by}`").alias("after"))
 
 
 class RollupStore:
