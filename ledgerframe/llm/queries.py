@@ -11,6 +11,7 @@ from .license_scan import license_digest
 from .mixing import mix_digest
 from .near_dedup import near_digest
 from .packing import pack
+from .ppm import ppm_scores
 from .secret_scan import secret_digest
 from .token_rollup import RollupStore, counted, deletes, inserts, revisions
 from .toxicity import toxicity_digest
@@ -56,4 +57,8 @@ def op9_near_dedup(spark, sf_dir):
     return near_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op4_mixing, op5_toxicity, op6_token_rollup, op7_secret_scan, op9_near_dedup)}
+def op10_ppm_score(spark, sf_dir):
+    return ppm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op4_mixing, op5_toxicity, op6_token_rollup, op7_secret_scan, op9_near_dedup, op10_ppm_score)}
