@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .ann_forest import search
 from .common import kept, shared_dir, table
 from .license_scan import license_digest
 from .mixing import mix_digest
 from .near_dedup import near_digest
 from .packing import pack
+from .phrase_prints import compare_with_next
 from .ppm import ppm_scores
 from .secret_scan import secret_digest
 from .token_rollup import RollupStore, counted, deletes, inserts, revisions
@@ -25,6 +27,10 @@ def op2_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_ann_forest(spark, sf_dir):
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark, sf_dir):
     return mix_digest(table(spark, sf_dir, "documents"))
 
@@ -53,6 +59,10 @@ def op7_secret_scan(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_phrase_prints(spark, sf_dir):
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark, sf_dir):
     return near_digest(table(spark, sf_dir, "documents"))
 
@@ -61,4 +71,10 @@ def op10_ppm_score(spark, sf_dir):
     return ppm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op4_mixing, op5_toxicity, op6_token_rollup, op7_secret_scan, op9_near_dedup, op10_ppm_score)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_packing, op3_ann_forest, op4_mixing, op5_toxicity,
+        op6_token_rollup, op7_secret_scan, op8_phrase_prints, op9_near_dedup, op10_ppm_score,
+    )
+}
