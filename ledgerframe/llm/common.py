@@ -73,6 +73,14 @@ def columns(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until `df` has no such column (whatever the case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def pieces(total: int, each: int) -> int:
     """Number of blocks of about `each` that hold `total`."""
     return max(1, -(-int(total) // each))

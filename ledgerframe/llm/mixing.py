@@ -154,9 +154,8 @@ def mix_digest(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
 
 def mix_rows(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     """The mix itself: each row of `docs` as often as it is taken, with the columns of `docs`."""
-    names = docs.columns
     _, plan = mix_plan(docs, spec)
-    whole = docs.select(*[F.col(f"`{c}`") for c in names])
-    sized = _sized(whole, spec)
-    copies = _with_copies(sized, plan).where(F.col("mix_copies") > 0)
-    return copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in names])
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text")
+    whole = docs.select(row, F.col("doc_id").cast("bigint").alias("doc_id"), text, F.col("source").cast("string").alias("source"))
+    copies = _with_copies(_sized(whole, spec).drop("text", "doc_id"), plan).where(F.col("mix_copies") > 0)
+    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy")).select("row.*")

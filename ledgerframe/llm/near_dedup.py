@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, columns, kept, mix, pieces, run_hashes, slices, text_buffer, word_runs
+from .common import LOWER, NOT_SPACE, columns, free_name, kept, mix, pieces, run_hashes, slices, text_buffer, word_runs
 from .components import components
 
 
@@ -369,9 +369,12 @@ def without_near_copies(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFra
     rows, names = near_components(docs, spec)
     wordy = rows.where("n_shingles > 0").join(names.select("node", "root"), "node")
     chosen = wordy.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("c"))
-    chosen = kept(chosen.select(F.col("c.doc_id").alias("near_id"), F.col("c.text_hash").alias("near_hash"), F.lit(True).alias("near_kept")), "near-chosen")
+    id_, text_ = free_name(docs, "near_id"), free_name(docs, "near_text")
+    chosen = kept(chosen.select(F.col("c.doc_id").alias("chosen_id"), F.col("c.text_hash").alias("chosen_text")), "near-chosen")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    tagged = docs.select(*own, F.xxhash64(F.col("text")).alias("near_text"), F.col("doc_id").alias("near_doc"))
-    empty = tagged.where(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) == 0).select(*own)
-    kept_rows = tagged.join(chosen, (F.col("near_text") == F.col("near_hash")) & F.col("near_doc").eqNullSafe(F.col("near_id")), "left_semi")
-    return kept_rows.dropDuplicates(["near_text", "near_doc"]).select(*own).unionAll(empty)
+    tagged = docs.select(*own, F.col("doc_id").cast("bigint").alias(id_), F.xxhash64(F.col("text").cast("string")).alias(text_))
+    wordless = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) == 0
+    found = tagged.where(~wordless).join(chosen, (F.col(text_) == F.col("chosen_text")) & F.col(id_).eqNullSafe(F.col("chosen_id")), "left_semi")
+    if not wordy.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        found = found.dropDuplicates([id_, text_])  # rows that repeat both id and text
+    return found.select(*own).unionAll(tagged.where(wordless).select(*own))

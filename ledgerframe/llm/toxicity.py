@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SLICE_BYTES, WORD_BYTE, columns, crc_of_id, kept, run_hashes, slices, text_buffer, word_runs
+from .common import LOWER, SLICE_BYTES, WORD_BYTE, columns, crc_of_id, free_name, kept, run_hashes, slices, text_buffer, word_runs
 
 #: Word lists of the static voters (fixed values).
 INSULTS = "idiot idiots moron morons loser losers clown clowns imbecile dumb dumbass fool fools jerk scum trash".split()
@@ -306,8 +306,8 @@ def learn(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
     return fit_model(sample, y, spec)
 
 
-def score_with(docs: DataFrame, model: ToxicityModel, keep_all: bool = False) -> DataFrame:
-    """`docs` (doc_id only, or all columns) with `score`."""
+def score_with(docs: DataFrame, model: ToxicityModel, name: str = "score", keep_all: bool = False) -> DataFrame:
+    """`docs` (doc_id only, or all columns) with the score as column `name`."""
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by most_features
     source = docs if keep_all else columns(docs, doc_id="bigint", text="string")
     keep = docs.columns if keep_all else ["doc_id"]
@@ -317,18 +317,19 @@ def score_with(docs: DataFrame, model: ToxicityModel, keep_all: bool = False) ->
         for whole in batches:
             for batch in slices(whole):
                 score = pa.array(fitted.score(batch.column("text")), pa.float64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), score], [*keep, "toxic_score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), score], [*keep, name])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep), "toxic_score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep), f"`{name}` double"])
     return source.mapInArrow(run, schema)
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec()) -> DataFrame:
     scored = score_with(docs, learn(docs, labels, spec))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= spec.threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= spec.threshold).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec()) -> DataFrame:
     """`docs` without the rows whose score reaches the threshold."""
-    scored = score_with(docs, learn(docs, labels, spec), keep_all=True)
-    return scored.where(F.col("toxic_score") < spec.threshold).drop("toxic_score")
+    name = free_name(docs, "toxic_score")
+    scored = score_with(docs, learn(docs, labels, spec), name, keep_all=True)
+    return scored.where(F.col(name) < spec.threshold).drop(name)
