@@ -11,8 +11,8 @@ A probability depends only on the window of `order` bytes and the byte itself, s
 * each task counts the distinct windows of its texts, and counts are merged by shard, a hash of the three bytes
   before the predicted one, so that a shard holds every longer context of its windows;
 * contexts of up to two bytes are at most 2**24 counts, the only thing that is broadcast;
-* texts are dealt into blocks of about `block_chars`; a block's distinct windows go to their shards, come back
-  with their log probabilities, and the block sums them up by text.
+* texts are dealt into blocks of about `block_chars`; a block's distinct windows go to their shards, their log
+  probabilities come back in that order, and the block sums them up by text.
 
 Word counts of the unigram base take the same way, by 64-bit hashes of the words.  What is shuffled grows with the
 distinct windows and words of tasks and blocks; there is no row for a byte or a token.
@@ -44,11 +44,14 @@ END_WORD = np.uint64(0x0E0D0E0D0E0D0E0D)
 
 WINDOWS, WORDS = 0, 1
 
+#: Bytes or keys handled at once, so that arrays of them stay near the processor.
+SLICE = 1 << 19
+
 
 @dataclass(frozen=True)
 class PpmSpec:
     order: int = 5
-    block_chars: int = 4_000_000
+    block_chars: int = 6_000_000
     most_shards: int = 4096
     merge: int = 64
 
@@ -60,21 +63,19 @@ def u64(x: int) -> np.uint64:
 def windows(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The window that ends in each byte (and end mark) of the texts, and how many each text has."""
     raw, at = text_buffer(column)
+    low = LOWER[raw]
     size = np.diff(at)
     each = size + order + 1
     base = np.cumsum(each) - each
-    buf = np.full(int(each.sum()), BEGIN, np.uint8)
-    buf[np.arange(len(raw)) + np.repeat(base + order - at[:-1], size)] = LOWER[raw]
+    n = int(each.sum())
+    buf = np.full(n + 8, BEGIN, np.uint8)
+    for a, b, c in zip(at[:-1].tolist(), at[1:].tolist(), (base + order).tolist()):
+        buf[c : c + b - a] = low[a:b]
     buf[base + each - 1] = END
-    key = np.zeros(max(len(buf) - order, 0), np.uint64)
-    for j in range(order + 1):
-        key = (key << u64(8)) | buf[j : len(buf) - order + j]
-    # windows that end in the padding of the next text belong to nobody
-    skip = np.zeros(len(buf) + 1, np.int64)
-    skip[base] += 1
-    skip[base + order] -= 1
-    mine = np.cumsum(skip)[order : len(buf)] == 0
-    return key[mine], size + 1
+    mine = np.ones(n, bool)  # windows that end in the mark before a text belong to nobody
+    mine[(base[:, None] + np.arange(order)).ravel()] = False
+    every = np.ndarray((max(n - order, 0),), ">u8", buf, strides=(1,)).astype(np.uint64) >> u64(8 * (7 - order))
+    return every[mine[order:]], size + 1
 
 
 def word_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +86,13 @@ def word_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return run_hashes(data, starts, ends), n.astype(np.int64)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and how often each is there."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, with the sums of their counts."""
     k, c = np.concatenate(keys), np.concatenate(counts)
@@ -94,6 +102,25 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, as whole planes of zeros compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, kind) -> np.ndarray:
+    n = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(n, -1).T).view(kind).ravel()
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences."""
+    return planes(np.diff(keys, prepend=u64(0)))
+
+
+def from_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(raw, np.uint64), dtype=np.uint64)
+
+
 def shard_of(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
     part = (keys >> u64(8)) & u64((1 << 8 * (LOW + 1)) - 1) if kind == WINDOWS else keys
     return (mix(part) % u64(shards)).astype(np.int64)
@@ -109,7 +136,7 @@ def _rows(kind: int, part: int, keys: np.ndarray, counts: np.ndarray, shards: in
     shard, keys, counts = shard[order], keys[order], counts[order]
     cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else [0]
     for a, b in zip(cut[:-1], cut[1:]):
-        yield kind, int(shard[a]), part, keys[a:b].tobytes(), counts[a:b].tobytes()
+        yield kind, int(shard[a]), part, steps(keys[a:b]), planes(counts[a:b])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -130,17 +157,17 @@ def trained(docs: DataFrame, spec: PpmSpec, shards: int) -> DataFrame:
             held[kind] = tuple([x] for x in merged(*held[kind]))
 
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=SLICE):
                 keys, _ = windows(batch.column("text"), spec.order)
                 words, _ = word_keys(batch.column("text"))
                 for kind, k in ((WINDOWS, keys), (WORDS, words)):
-                    u, c = np.unique(k, return_counts=True)
+                    u, c = distinct(k)
                     held[kind][0].append(u)
-                    held[kind][1].append(c.astype(np.int64))
+                    held[kind][1].append(c)
                 held[WORDS][0].append(np.array([END_WORD]))
                 held[WORDS][1].append(np.array([batch.num_rows], np.int64))
                 for kind in held:
-                    if len(held[kind][0]) > 16:
+                    if len(held[kind][0]) > 24:
                         fold(kind)
         for kind in held:
             if held[kind][0]:
@@ -150,9 +177,9 @@ def trained(docs: DataFrame, spec: PpmSpec, shards: int) -> DataFrame:
                     yield _batch(rows[i : i + 64])
 
     def merge(rows: pa.Table) -> pa.Table:
-        k, c = merged([np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()], [np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist()])
+        k, c = merged([from_steps(x) for x in rows["keys"].to_pylist()], [from_planes(x, np.int64) for x in rows["counts"].to_pylist()])
         head = rows.slice(0, 1)
-        return pa.table({"kind": head["kind"], "shard": head["shard"], "part": head["part"], "keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([c.tobytes()], pa.binary())})
+        return pa.table({"kind": head["kind"], "shard": head["shard"], "part": head["part"], "keys": pa.array([steps(k)], pa.binary()), "counts": pa.array([planes(c)], pa.binary())})
 
     found = docs.select("text").mapInArrow(count, _ROW)
     tasks = docs.rdd.getNumPartitions()
@@ -168,7 +195,7 @@ def low_counts(trie: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def low(batches):
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                k, c = merged([np.frombuffer(keys, np.uint64) & u64((1 << 8 * (LOW + 1)) - 1)], [np.frombuffer(counts, np.int64)])
+                k, c = merged([from_steps(keys) & u64((1 << 8 * (LOW + 1)) - 1)], [from_planes(counts, np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c)], ["k", "c"])
 
     sums = trie.where(F.col("kind") == WINDOWS).select("keys", "counts").mapInArrow(low, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
@@ -316,7 +343,7 @@ def escape_counts(trie: DataFrame, low, order: int) -> np.ndarray:
     def tell(batches):
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                k, c = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
+                k, c = from_steps(keys), from_planes(counts, np.int64)
                 cells = Trie(order, k, c, pickle.loads(low.value)).tally(k, c).ravel()
                 at = np.flatnonzero(cells)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at].astype(np.int64))], ["cell", "n"])
@@ -327,18 +354,52 @@ def escape_counts(trie: DataFrame, low, order: int) -> np.ndarray:
     return out.reshape(order + 1, 2, LEVELS, LEVELS, 2)
 
 
-def _block_keys(rows: pa.Table, spec: PpmSpec, shards: int) -> pa.Table:
-    keys, words, block = [], [], rows["block"][0].as_py()
-    for whole in rows.to_batches():
-        for batch in slices(whole):
-            keys.append(np.unique(windows(batch.column("text"), spec.order)[0]))
-            words.append(np.unique(word_keys(batch.column("text"))[0]))
-    words.append(np.array([END_WORD]))
-    out = []
-    for kind, k in ((WINDOWS, keys), (WORDS, words)):
-        k = np.unique(np.concatenate(k))
-        out += list(_rows(kind, block, k, np.zeros(len(k), np.int8), shards))
-    return pa.Table.from_batches([_batch(out)]).drop_columns(["counts"])
+def sums(look: "Lookup", keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of the keys' values for each text of so many keys, a stretch of keys at a time."""
+    out, row = np.zeros(len(counts)), np.cumsum(counts)
+    for a in range(0, len(keys), SLICE):
+        b = min(a + SLICE, len(keys))
+        lo, hi = int(np.searchsorted(row, a, side="right")), int(np.searchsorted(row, b - 1, side="right"))
+        first = np.maximum(row[lo : hi + 1] - counts[lo : hi + 1], a) - a
+        out[lo : hi + 1] += np.where(counts[lo : hi + 1] > 0, np.add.reduceat(look(keys[a:b]), np.minimum(first, b - a - 1)), 0)
+    return out
+
+
+class Block:
+    """Windows and words of a block's texts, and which of them are different."""
+
+    def __init__(self, texts: pa.Table, spec: PpmSpec, shards: int):
+        self.n_keys, self.n_words, keys, words = [], [], [np.zeros(0, np.uint64)], [np.array([END_WORD])]
+        for whole in texts.to_batches():
+            for batch in slices(whole, most=SLICE):
+                for found, counts, (k, n) in ((keys, self.n_keys, windows(batch.column("text"), spec.order)), (words, self.n_words, word_keys(batch.column("text")))):
+                    found.append(k)
+                    counts.append(n)
+        self.keys = {WINDOWS: np.concatenate(keys), WORDS: np.concatenate(words)}
+        self.different = {kind: distinct(k)[0] for kind, k in self.keys.items()}
+        self.shards = {kind: shard_of(kind, k, shards) for kind, k in self.different.items()}
+
+    def sent(self, kind: int):
+        """(shard, keys) of the different ones; a shard's keys ascend."""
+        order = np.argsort(self.shards[kind], kind="stable")
+        shard, keys = self.shards[kind][order], self.different[kind][order]
+        cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else [0]
+        for a, b in zip(cut[:-1], cut[1:]):
+            yield int(shard[a]), keys[a:b]
+
+    def values(self, kind: int, answers: dict[int, np.ndarray]) -> "Lookup":
+        """Answers came by shard in the order of what was sent."""
+        out = np.zeros(len(self.different[kind]))
+        order = np.argsort(self.shards[kind], kind="stable")
+        out[order] = np.concatenate([np.zeros(0), *(answers[s] for s in sorted(answers))])
+        return Lookup(self.different[kind], out)
+
+
+def _asked(texts: pa.Table, spec: PpmSpec, shards: int) -> pa.Table:
+    block, number = Block(texts, spec, shards), texts["block"][0].as_py()
+    rows = [(kind, shard, number, steps(keys)) for kind in (WINDOWS, WORDS) for shard, keys in block.sent(kind)]
+    kind, shard, part, keys = zip(*rows)
+    return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(shard, pa.int32()), "part": pa.array(part, pa.int64()), "keys": pa.array(keys, pa.binary())})
 
 
 def train_side(doc_id):
@@ -352,55 +413,51 @@ def ppm_scores(docs: DataFrame, spec: PpmSpec = PpmSpec()) -> DataFrame:
     blocks = pieces(size, spec.block_chars)
     shards = min(max(16, blocks), spec.most_shards)
     trie = kept(trained(source.where(train_side(F.col("doc_id"))), spec, shards), "ppm-trie")
-    sums = lambda batches: (pa.RecordBatch.from_arrays([pa.array([sum(len(x) // 8 for x in b.column("keys").to_pylist())], pa.int64()), pa.array([int(sum(np.frombuffer(x, np.int64).sum() for x in b.column("counts").to_pylist()))], pa.int64())], ["v", "n"]) for b in batches)
-    totals = trie.where(F.col("kind") == WORDS).select("keys", "counts").mapInArrow(sums, "v bigint, n bigint").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
+    told = lambda batches: (pa.RecordBatch.from_arrays([pa.array([sum(len(x) // 8 for x in b.column("keys").to_pylist())], pa.int64()), pa.array([int(sum(from_planes(x, np.int64).sum() for x in b.column("counts").to_pylist()))], pa.int64())], ["v", "n"]) for b in batches)
+    totals = trie.where(F.col("kind") == WORDS).select("keys", "counts").mapInArrow(told, "v bigint, n bigint").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     v, n_train = int(totals.v or 0), int(totals.n or 0)
     low = docs.sparkSession.sparkContext.broadcast(pickle.dumps(low_counts(trie)))  # at most 2**24 counts
     escapes = escape_table(escape_counts(trie, low, spec.order))
     dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("bigint"))
-    asked = dealt.groupBy("block").applyInArrow(lambda rows: _block_keys(rows, spec, shards), "kind int, shard int, part bigint, keys binary")
+    asked = dealt.groupBy("block").applyInArrow(lambda rows: _asked(rows, spec, shards), "kind int, shard int, part bigint, keys binary")
     # a call answers at most 2**18 blocks
     lots = (blocks >> 18) + 1
     offered = trie.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
 
     def answer(known: pa.Table, rows: pa.Table) -> pa.Table:
-        kind = rows["kind"][0].as_py() if rows.num_rows else None
-        if kind is not None:
-            k, c = (np.frombuffer(known[x][0].as_py(), kind_) for x, kind_ in (("keys", np.uint64), ("counts", np.int64))) if known.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            trie_ = Trie(spec.order, k, c, pickle.loads(low.value)) if kind == WINDOWS else None
         values = []
-        for keys in rows["keys"].to_pylist():
-            q = np.frombuffer(keys, np.uint64)
-            if kind == WINDOWS:
-                values.append(trie_.log10(q, escapes).tobytes())
-            else:
-                at, there = found_in(k, q)
-                values.append(np.where(there, c[at] if len(c) else 0, 0).astype(np.float64).tobytes())
-        return pa.table({"block": rows["part"], "kind": rows["kind"], "keys": rows["keys"], "vals": pa.array(values, pa.binary())})
+        if rows.num_rows:
+            kind = rows["kind"][0].as_py()
+            k, c = (from_steps(known["keys"][0].as_py()), from_planes(known["counts"][0].as_py(), np.int64)) if known.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            model = Trie(spec.order, k, c, pickle.loads(low.value)) if kind == WINDOWS else None
+            for keys in rows["keys"].to_pylist():
+                q = from_steps(keys)
+                if kind == WINDOWS:
+                    values.append(planes(model.log10(q, escapes).astype(np.float32)))
+                else:
+                    at, there = found_in(k, q)
+                    values.append(planes(np.where(there, c[at] if len(c) else 0, 0).astype(np.int64)))
+        return pa.table({"block": rows["part"], "kind": rows["kind"], "shard": rows["shard"], "vals": pa.array(values, pa.binary())})
 
     key = ["kind", "shard", "lot"]
-    answered = offered.groupBy(*key).cogroup(asked.withColumn("lot", F.shiftright("part", 18).cast("int")).groupBy(*key)).applyInArrow(answer, "block bigint, kind int, keys binary, vals binary")
+    answered = offered.groupBy(*key).cogroup(asked.withColumn("lot", F.shiftright("part", 18).cast("int")).groupBy(*key)).applyInArrow(answer, "block bigint, kind int, shard int, vals binary")
     scale = np.log10(n_train + 0.5 * (v + 1))
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
-        look = {}
-        for kind in (WINDOWS, WORDS):
+        if not texts.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+        block, look = Block(texts, spec, shards), {}
+        for kind, number in ((WINDOWS, np.float32), (WORDS, np.int64)):
             mine = found.filter(pc.equal(found["kind"], kind))
-            look[kind] = Lookup(np.concatenate([np.frombuffer(x, np.uint64) for x in mine["keys"].to_pylist()] or [np.zeros(0, np.uint64)]), np.concatenate([np.frombuffer(x, np.float64) for x in mine["vals"].to_pylist()] or [np.zeros(0)]))
-        out = []
-        for whole in texts.to_batches():
-            for batch in slices(whole):
-                m = batch.num_rows
-                keys, n_keys = windows(batch.column("text"), spec.order)
-                total = np.bincount(np.repeat(np.arange(m), n_keys), look[WINDOWS](keys), minlength=m)
-                words, n_words = word_keys(batch.column("text"))
-                c = look[WORDS](words)
-                end = look[WORDS](np.array([END_WORD]))[0]
-                row = np.repeat(np.arange(m), n_words)
-                base = np.bincount(row, np.log10(c + 0.5), minlength=m) + np.log10(end + 0.5) - (n_words + 1) * scale
-                known = np.bincount(row, c > 0, minlength=m).astype(np.int64) + int(end > 0)
-                out.append(pa.table({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n_words + 1), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(total)}))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+            look[kind] = block.values(kind, {s: from_planes(v, number) for s, v in zip(mine["shard"].to_pylist(), mine["vals"].to_pylist())})
+        n_keys, n_words = np.concatenate(block.n_keys), np.concatenate(block.n_words)
+        m = len(n_keys)
+        total = sums(look[WINDOWS], block.keys[WINDOWS], n_keys)
+        c = look[WORDS](block.keys[WORDS])  # the first is the end
+        row = np.repeat(np.arange(m), n_words)
+        base = np.bincount(row, np.log10(c[1:] + 0.5), minlength=m) + np.log10(c[0] + 0.5) - (n_words + 1) * scale
+        n_known = np.bincount(row, c[1:] > 0, minlength=m).astype(np.int64) + int(c[0] > 0)
+        return pa.table({"doc_id": texts["doc_id"], "n_tokens": pa.array(n_words + 1), "n_known": pa.array(n_known), "base_score": pa.array(base), "score": pa.array(total)})
 
     scored = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("doc_id", (~train_side(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
