@@ -11,17 +11,17 @@ from .common import kept
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of `edges` (a, b), where root is the least node of its component.
 
-    Each round points every node at the least node near it (large star), then every node's lower neighbours at
-    the least of them (small star); edges never get more, and rounds grow with the logarithm of a path's length.
-    Rounds are written to the shared folder, so a lost executor costs a round at most.  Loops and repeated edges
-    don't matter; an empty table gives an empty result.
+    Each round points every edge's upper node at the least node next to its lower one (large star; the lower
+    nodes' least neighbours are few, written, and joined by both sides' own exchanges, so a hub's edges can be
+    split), then every node's lower neighbours at the least of them (small star).  Edges never get more, and
+    rounds grow with the logarithm of a path's length.  Rounds are written to the shared folder, so a lost
+    executor costs a round at most.  Loops and repeated edges don't matter; an empty table gives an empty result.
     """
     now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name)
     told = _told(now)
     while told[0]:
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        least = kept(now.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), "m"), name)
+        large = now.join(least, now.lo == least.u, "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
         lower = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(lower, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = kept(small.unionAll(lower.select("hi", F.col("m").alias("lo"))).distinct(), name)
