@@ -39,7 +39,7 @@ class MixSpec:
     limit: int = 2
     seed: int = 7
     window: int = 1 << 16
-    range_docs: int = 1024
+    range_docs: int = 256
 
 
 def targets(sizes: list[int], spec: MixSpec) -> list[float]:
