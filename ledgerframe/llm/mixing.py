@@ -9,7 +9,7 @@ Only counts by (source, length) meet in one task; a source has at most sqrt(2 *
 driver sees one row a source.  The wanted hash is found in hash ranges of about `range_docs` rows, so a length
 that a third of all rows share is spread over many tasks.
 
-Defined results: a null text has size 0 and takes nothing; a null source is a source of its own and comes last;
+Defined results: a null text has size 0 and adds no words, and is in the mix as often as its source is taken whole; a null source is a source of its own and comes last;
 rows of one id and text are selected together, and if the wanted count falls between them, not at all; an empty
 table gives an empty result; extra columns stay untouched in `mix_rows` and unread in `mix_plan`.
 """

@@ -156,7 +156,7 @@ def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return seq, offset
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, files: tuple[str, str] | None = None, block_docs: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, files: tuple[str, str] | None = None, block_docs: int = 4096, with_ids: bool = False) -> DataFrame:
     """Every piece of every row with its sequence and its offset there."""
     n_blocks = pieces(docs.count(), block_docs)
     cut = token_pieces(docs, window, end_id, files, with_ids)

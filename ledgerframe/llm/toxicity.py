@@ -125,6 +125,10 @@ class Scanner:
         return np.stack(out, 1).astype(np.int8)
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 class LabelModel:
     """Votes given the class, by expectation maximisation; voters that move together within a class share weight."""
 
@@ -134,18 +138,17 @@ class LabelModel:
     def fit(self, votes: np.ndarray, known: np.ndarray) -> "LabelModel":
         """known: 0 or 1 where a label says so, else -1.  Labels hold as a strong but fallible vote."""
         onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
-        n, m = votes.shape
-        start = (votes.sum(1) > 0).astype(float) * 0.8 + 0.1
-        post = np.where(known >= 0, np.clip(known, 0.02, 0.98), start)
-        self.share = np.ones(m)
-        for k in range(self.rounds):
+        n = len(votes)
+        told = known >= 0  # correlations within a class need the class; without labels, those over all rows bound them
+        self.share = self.shares(votes[told], known[told].astype(float)) if told.any() else self.shares(votes, np.ones(n))
+        start = _sigmoid(votes @ self.share)
+        post = np.where(told, np.clip(known, 0.02, 0.98), start)
+        for _ in range(self.rounds):
             self.prior = (post.sum() + 1) / (n + 2)
             given = [np.einsum("n,nmv->mv", p, onehot) + 0.5 for p in (1 - post, post)]
             self.log = np.log(given[1] / given[1].sum(1, keepdims=True)) - np.log(given[0] / given[0].sum(1, keepdims=True))
-            if k == 5:
-                self.share = self.shares(votes, post)
             p = self.posterior(votes)
-            post = np.where(known >= 0, np.where(known == 1, p * 0.98 / (p * 0.98 + (1 - p) * 0.02), p * 0.02 / (p * 0.02 + (1 - p) * 0.98)), p)
+            post = np.where(told, np.where(known == 1, p * 0.98 / (p * 0.98 + (1 - p) * 0.02), p * 0.02 / (p * 0.02 + (1 - p) * 0.98)), p)
         self.trained = post
         return self
 
@@ -154,11 +157,13 @@ class LabelModel:
         """1 over the summed squared correlations of a voter with all voters, given the class."""
         corr = np.zeros((votes.shape[1],) * 2)
         for p in (post, 1 - post):
-            w = p / max(p.sum(), 1e-9)
+            if p.sum() < 1e-9:
+                continue
+            w = p / p.sum()
             x = votes - w @ votes
             cov = (x * w[:, None]).T @ x
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr += 0.5 * np.abs(cov / np.outer(sd, sd))
+            corr += p.mean() * np.abs(cov / np.outer(sd, sd))
         np.fill_diagonal(corr, 1.0)
         return 1.0 / (np.minimum(corr, 1.0) ** 2).sum(1)
 
@@ -167,10 +172,6 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
 class ToxicityModel:
     """A fitted scorer: known features, their lexicon groups, and the weights of the linear classifier."""
 

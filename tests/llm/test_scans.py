@@ -1,0 +1,198 @@
+"""Licence scan, secret scan, toxicity and token rollups."""
+
+import base64
+import hashlib
+import json
+import re
+import uuid
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerframe.llm import license_scan as lic
+from ledgerframe.llm import queries as q
+from ledgerframe.llm import secret_scan as sec
+from ledgerframe.llm import token_rollup as roll
+from ledgerframe.llm import toxicity as tox
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts, extra=False):
+    rows = [(i, t, "en", f"s{i % 3}" if i % 4 else None, len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumns({"score": F.lit("x"), "node": F.lit(1), "block": F.lit(None).cast("string")}) if extra else df
+
+
+ODD = [None, "", " \t\n", "a", "Ünïcode ſecret K wörds", "\x00\x0b\x85 ", "the " * 3000, "x" * 50_000]
+
+
+# licences
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def brute_phrases(text):
+    w, out = words(text), []
+    for phrase, label in lic.PHRASES.items():
+        p = phrase.split()
+        out += [(i, label) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+    return len(w), sorted(out)
+
+
+def check_licenses(rows, texts):
+    for r in rows:
+        n, found = brute_phrases(texts[r.doc_id])
+        starts = [i for i, _ in found]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(found), min(starts, default=None), max(starts, default=None))
+        base = sorted({x for _, x in found})
+        assert r.base_labels == ",".join(base) and set(base) <= set(r.labels.split(",") if r.labels else [])
+        assert r.labels == ",".join(sorted(set(r.labels.split(",")))) and 0 <= r.score <= 1
+
+
+def test_license_phrases_by_brute_force(spark):
+    texts = [*ODD, "MIT License", "the mit\n--license, MIT LICENSE", "mit the license", "GNU General Public License v3 general public license", "apache-license", "general public", "license mit license mit"]
+    check_licenses(lic.license_digest(docs_of(spark, texts, extra=True)).collect(), texts)
+
+
+def test_license_query(spark, data):
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    check_licenses(q.op1_license_scan(spark, data).collect(), {r.doc_id: r.text for r in rows})
+
+
+def test_license_templates_are_covered(spark):
+    body = lic.TEMPLATES["bsd"]
+    torn = body.replace("with or without modification", "with or without any changes", 1)
+    got = [r for r in lic.scan_licenses(docs_of(spark, [f"intro words. {torn} outro", "with the following conditions only"])).collect()]
+    top = max(got[0].places, key=lambda p: p.covered)
+    assert top.label == "bsd" and top.covered > 0.9 and top.start == 2 and not got[1].places
+
+
+def test_suffix_automaton_against_substrings():
+    rng = np.random.default_rng(0)
+    seqs = [rng.integers(0, 3, 12).tolist() for _ in range(4)]
+    auto, text = lic.SuffixAutomaton(seqs), rng.integers(0, 3, 200).tolist()
+    inside = lambda s: any(seq[i : i + len(s)] == s for seq in seqs for i in range(len(seq)))
+    state = size = 0
+    for i, t in enumerate(text):
+        state, size = auto.step(state, size, t)
+        want = max(k for k in range(0, 13) if k <= i + 1 and inside(text[i + 1 - k : i + 1]))
+        assert size == want
+        assert auto.within[state] == {k for k, s in enumerate(seqs) if any(s[j : j + size] == text[i + 1 - size : i + 1] for j in range(len(s)))} or size == 0
+
+
+# secrets
+
+
+def test_secret_base_by_brute_force(spark):
+    texts = [*ODD, 'Token = "abcdef12"', "TOKEN:'short", "api-key=abc", "api_key : abcdefgh apikey=12345678", "AKIA" + "A" * 16, "AKIA" + "B" * 15, "f" * 24, "f" * 23 + "g", "F" * 30, "é" + "0123456789abcdef" * 2 + "é", "password=secret=abcdefg", "ſecret=abcdefg"]
+    for r in sec.secret_digest(docs_of(spark, texts, extra=True)).collect():
+        t = texts[r.doc_id] or ""
+        a = [m.span() for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A) if len(m[2]) >= 6]
+        k = [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        h = [m.span() for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert (r.n_assign, r.n_access, r.n_hex) == (len(a), len(k), len(h))
+        spans = sorted([(s, i, e, n) for i, (n, x) in enumerate((("assign", a), ("access", k), ("hex", h))) for s, e in x])
+        told = ",".join(f"{n}:{s}:{e}" for s, _, e, n in spans)
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest() and set(told.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+
+def test_secrets_are_confirmed_by_structure():
+    rsa = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([65 + i] * 40)) for i in range(8)))
+    pkcs8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, rsa))
+    assert sec.key_kind(rsa) == "rsa" and sec.key_kind(pkcs8) == "pkcs8"
+    assert sec.key_kind(rsa[:-1]) is None and sec.key_kind(rsa + b"x") is None and sec.key_kind(b"\x30\x80" + rsa) is None
+    b64 = base64.b64encode(rsa).decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{b64}\n-----END RSA PRIVATE KEY-----"
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    kinds = lambda t: [k for _, _, k in sec.confirmed(t)]
+    assert kinds(pem) == ["pem"] and kinds(f"key {b64} end") == ["key"] and kinds(f"{head}.e30.c2ln") == ["token"]
+    assert kinds(rsa.hex()) == ["key"] and kinds(base64.b64encode(pem.encode()).decode()) == ["key"]
+    assert kinds("A" * 100) == [] and kinds("deadbeef" * 20) == [] and kinds("abcdefgh.abcdef.abc") == []
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    df = docs_of(spark, ["nothing here", 'x token = "0123456789abcdef0123456789abcdef" y', None], extra=True)
+    got = sec.redact(df).orderBy("doc_id").collect()
+    assert sec.redact(df).columns == df.columns
+    assert [r.text for r in got] == ["nothing here", 'x [secret]" y', None] and got[1].n_chars == len(got[1].text)
+
+
+# toxicity
+
+
+def test_toxicity_on_planted_words(spark):
+    rng = np.random.default_rng(1)
+    plain = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    stems = ["grobul", "zankel"]
+    texts, labels = [], []
+    for i in range(900):
+        w = list(rng.choice(plain, 60))
+        toxic = i % 5 == 0
+        for _ in range(3 * toxic):
+            w.insert(int(rng.integers(0, len(w))), str(rng.choice(stems)) + str(rng.choice(plain))[:3])
+        texts.append(" ".join(w))
+        labels.append((i, 1, int(toxic)))
+    docs = docs_of(spark, [*texts, *ODD], extra=True)
+    lab = spark.createDataFrame([*labels, (10_000, 1, 1), (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in tox.toxicity_digest(docs, lab).collect()}
+    assert len(got) == len(texts) + len(ODD)
+    for i, _, y in labels:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+    held = [(got[i].predicted, y) for i, _, y in labels if got[i].held_out]
+    assert np.mean([p == y for p, y in held if y]) > 0.95 and not any(p for p, y in held if not y)
+    assert all(got[i].predicted == 0 for i in range(len(texts), len(texts) + len(ODD)))
+    left = tox.reject_toxic(docs, lab)
+    assert left.columns == docs.columns and left.count() == sum(1 for r in got.values() if r.score < 0.7)
+
+
+def test_toxicity_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = [r.predicted for r in tox.toxicity_digest(docs_of(spark, ["you stupid worthless idiot moron", "a fine day", None]), none).orderBy("doc_id").collect()]
+    assert got == [1, 0, 0]
+
+
+def test_label_model_finds_accuracies():
+    rng = np.random.default_rng(2)
+    y = rng.random(4000) < 0.3
+    votes = np.stack([np.where(rng.random(4000) < acc, 2 * y - 1, 1 - 2 * y) for acc in (0.9, 0.8, 0.7)] , 1).astype(np.int8)
+    twin = votes[:, 2:3]
+    known = np.where(np.arange(4000) < 800, y, -1)
+    m = tox.LabelModel(30).fit(np.concatenate([votes, twin, twin], 1), known)
+    assert ((m.posterior(np.concatenate([votes, twin, twin], 1)) > 0.5) == y).mean() > 0.88  # the best voter alone: 0.9
+    assert m.share[0] > 2 * m.share[2] and abs(m.share[2] - m.share[3]) < 0.05
+
+
+# rollups
+
+
+def test_rollups(spark, tmp_path):
+    store = roll.RollupStore(spark, f"file://{tmp_path}/r")
+    assert store.totals().count() == 0
+    change = lambda rows: spark.createDataFrame(rows, "source string, lang string, tokenizer string, before long, after long")
+    assert store.commit("b1", change([("s", "en", "w", None, 5), ("s", "en", "w", None, 7), (None, None, "w", None, 1), ("t", "de", "w", None, 2)]))
+    assert not store.commit("b1", change([("s", "en", "w", None, 100)]))
+    assert store.commit("b2", change([("s", "en", "w", 5, None), ("s", "en", "w", 7, 9), ("t", "de", "w", 2, None), ("t", "de", "w", None, None)]))
+    assert store.commit("b3", change([]))
+    got = sorted(map(tuple, store.totals().collect()), key=str)
+    assert got == [("s", "en", "w", 1, 9), (None, None, "w", 1, 1)] or got == [(None, None, "w", 1, 1), ("s", "en", "w", 1, 9)]
+    assert store.batches() == ["b1", "b2", "b3"]
+    with pytest.raises(ValueError):
+        store.commit("../x", change([]))
+
+
+def test_counts(spark):
+    df = docs_of(spark, ["Ab c-d 12", None], extra=True)
+    got = [tuple(r)[3:] for r in roll.counted(df, ("words-1", "alnum-1", "alpha-2")).orderBy("doc_id").collect()]
+    assert got == [(3, 4, 3), (0, 0, 0)]
+    assert uuid.uuid4()
