@@ -39,7 +39,7 @@ HEADS = (4, 5, 6)
 class ToxicitySpec:
     sample_rows: int = 4096
     most_features: int = 8192
-    least_rows: int = 4
+    least_rows: int = 3
     least_share: float = 0.01
     odds: float = 20.0
     groups: int = 6
