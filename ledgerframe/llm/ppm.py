@@ -4,7 +4,12 @@ The pretrained model is a trie of byte contexts up to `order` bytes with the cou
 byte is coded at the longest context that was seen; if it never followed there, an escape is coded and the next
 shorter context is tried, with all bytes that followed the longer one excluded, down to a uniform choice.
 Escapes are estimated from the training texts: each of their bytes, left out of the counts, is coded or escaped
-at contexts of so many counts and different bytes.  A text's score is the log10 probability of its bytes (A-Z lower) and an end mark.
+at contexts of so many counts and different bytes.
+
+Before that, the model adapts to the text itself: where the seven bytes before a byte stood earlier in the same
+text, the byte that followed them there (the last time) is foretold, and once `least_run` foretellings in a row came
+true it is coded first, with an escape estimated from the training texts by the length of the run; after that
+escape the byte is excluded below.  This prices repeated lines and passages.  A text's score is the log10 probability of its bytes (A-Z lower) and an end mark.
 
 A probability depends only on the window of `order` bytes and the byte itself, so nothing needs the whole trie:
 
@@ -42,7 +47,7 @@ LOW = 2
 #: Key of the end of a text among word hashes.
 END_WORD = np.uint64(0x0E0D0E0D0E0D0E0D)
 
-WINDOWS, WORDS = 0, 1
+WINDOWS, WORDS, REPEATS = 0, 1, 2
 
 #: Bytes or keys handled at once, so that arrays of them stay near the processor.
 SLICE = 1 << 19
@@ -51,6 +56,7 @@ SLICE = 1 << 19
 @dataclass(frozen=True)
 class PpmSpec:
     order: int = 5
+    least_run: int = 4
     block_chars: int = 6_000_000
     most_shards: int = 4096
     merge: int = 64
@@ -78,6 +84,50 @@ def windows(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return every[mine[order:]], size + 1
 
 
+#: Bytes before a byte that must have stood earlier in the text, and levels of run lengths.
+FAR, RUNS = 7, 13
+
+
+def repeats(column: pa.Array, least_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where a byte is foretold within its text: place among the windows, the byte foretold, whether it came true,
+    and the level of the run of true ones before it."""
+    w, n = windows(column, FAR)
+    row, context, symbol = np.repeat(np.arange(len(n)), n), w >> u64(8), (w & u64(255)).astype(np.int64)
+    before = last_places(context, row)
+    told = np.where(before >= 0, symbol[before], -1)
+    true = told == symbol
+    place = np.arange(len(w))
+    start = np.cumsum(n) - n
+    reset = np.where(true, -1, place + 1)  # a run begins after the last miss, or with the text
+    reset[start] = np.maximum(reset[start], start)
+    run = np.zeros(len(w), np.int64)
+    run[1:] = place[1:] - np.maximum.accumulate(reset)[:-1]
+    run[start] = 0
+    use = np.flatnonzero((before >= 0) & (run >= least_run))
+    return use, told[use], true[use], np.minimum(np.rint(2 * np.log2(np.maximum(run[use], 1))), RUNS - 1).astype(np.int64)
+
+
+def last_places(context: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with its context in its text, or -1.  Places are sorted by 40 bits of a
+    hash, place last; groups in which contexts differ are sorted anew by all."""
+    out = np.full(len(context), -1, np.int64)
+    if len(context) >= 1 << 24:
+        order = np.lexsort((context, row))
+    else:
+        h = mix(context ^ (row.astype(np.uint64) * u64(0xD6E8FEB86659FD93)))
+        order = (np.sort((h & ~u64((1 << 24) - 1)) | np.arange(len(context), dtype=np.uint64)) & u64((1 << 24) - 1)).astype(np.int64)
+        group = h[order] >> u64(24)
+        clash = np.zeros(len(order), bool)
+        clash[1:] = (group[1:] == group[:-1]) & ((context[order[1:]] != context[order[:-1]]) | (row[order[1:]] != row[order[:-1]]))
+        if clash.any():
+            mixed = np.flatnonzero(np.isin(group, group[clash]))
+            own = order[mixed]
+            order[mixed] = own[np.lexsort((own, context[own], row[own], h[own] >> u64(24)))]
+    same = (context[order[1:]] == context[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
 def word_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of the texts, and how many words each text has."""
     raw, at = text_buffer(column)
@@ -151,6 +201,7 @@ def trained(docs: DataFrame, spec: PpmSpec, shards: int) -> DataFrame:
         from pyspark import TaskContext
 
         held = {WINDOWS: ([], []), WORDS: ([], [])}
+        runs = np.zeros((RUNS, 2), np.int64)
         part = TaskContext.get().partitionId()
 
         def fold(kind: int) -> None:
@@ -166,6 +217,8 @@ def trained(docs: DataFrame, spec: PpmSpec, shards: int) -> DataFrame:
                     held[kind][1].append(c)
                 held[WORDS][0].append(np.array([END_WORD]))
                 held[WORDS][1].append(np.array([batch.num_rows], np.int64))
+                _, _, true, level_ = repeats(batch.column("text"), spec.least_run)
+                np.add.at(runs, (level_, true.astype(np.int64)), 1)
                 for kind in held:
                     if len(held[kind][0]) > 24:
                         fold(kind)
@@ -175,8 +228,13 @@ def trained(docs: DataFrame, spec: PpmSpec, shards: int) -> DataFrame:
                 rows = list(_rows(kind, part, held[kind][0][0], held[kind][1][0], shards))
                 for i in range(0, len(rows), 64):
                     yield _batch(rows[i : i + 64])
+        yield _batch([(REPEATS, 0, part, b"", planes(runs.ravel()))])
 
     def merge(rows: pa.Table) -> pa.Table:
+        if rows["kind"][0].as_py() == REPEATS:
+            runs = sum(from_planes(x, np.int64) for x in rows["counts"].to_pylist())
+            head = rows.slice(0, 1)
+            return head.set_column(head.schema.get_field_index("counts"), "counts", pa.array([planes(runs)], pa.binary()))
         k, c = merged([from_steps(x) for x in rows["keys"].to_pylist()], [from_planes(x, np.int64) for x in rows["counts"].to_pylist()])
         head = rows.slice(0, 1)
         return pa.table({"kind": head["kind"], "shard": head["shard"], "part": head["part"], "keys": pa.array([steps(k)], pa.binary()), "counts": pa.array([planes(c)], pa.binary())})
@@ -284,7 +342,7 @@ class Trie:
             e = escapes[j, after.astype(np.int64), level(n), level(t)]
             hit = c > 0
             logp[rows[~hit]] += np.log10(e[~hit])
-            logp[rows[hit]] += np.log10((1 - e[hit]) * (2 * c[hit] - 1) / (2 * n[hit] - t[hit]))
+            logp[rows[hit]] += np.log10((1 - e[hit]) * c[hit] / n[hit])
         return logp
 
     def tally(self, q: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -337,6 +395,12 @@ class Lookup:
         return self.values[at]
 
 
+def run_escapes(counts: list[bytes]) -> np.ndarray:
+    """Escape probabilities of foretold bytes by run level; a merged tally is one row."""
+    runs = np.zeros((RUNS, 2), np.int64) + sum(from_planes(bytes(x), np.int64).reshape(RUNS, 2) for x in counts)
+    return (runs[:, 0] + 1) / (runs.sum(1) + 2)
+
+
 def escape_counts(trie: DataFrame, low, order: int) -> np.ndarray:
     """The tally of all shards; its size is fixed by order and LEVELS."""
 
@@ -368,13 +432,20 @@ def sums(look: "Lookup", keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Block:
     """Windows and words of a block's texts, and which of them are different."""
 
-    def __init__(self, texts: pa.Table, spec: PpmSpec, shards: int):
-        self.n_keys, self.n_words, keys, words = [], [], [np.zeros(0, np.uint64)], [np.array([END_WORD])]
+    def __init__(self, texts: pa.Table, spec: PpmSpec, shards: int, scoring: bool = False):
+        self.n_keys, self.n_words, keys, words, before = [], [], [np.zeros(0, np.uint64)], [np.array([END_WORD])], 0
+        told = []
         for whole in texts.to_batches():
             for batch in slices(whole, most=SLICE):
                 for found, counts, (k, n) in ((keys, self.n_keys, windows(batch.column("text"), spec.order)), (words, self.n_words, word_keys(batch.column("text")))):
                     found.append(k)
                     counts.append(n)
+                if scoring:
+                    use, byte, true, run = repeats(batch.column("text"), spec.least_run)
+                    told.append((use + before, (keys[-1][use] & ~u64(255)) | byte.astype(np.uint64), true, run))
+                    before += len(keys[-1])
+        if scoring:
+            self.told = [np.concatenate(x) for x in zip(*told)]
         self.keys = {WINDOWS: np.concatenate(keys), WORDS: np.concatenate(words)}
         self.different = {kind: distinct(k)[0] for kind, k in self.keys.items()}
         self.shards = {kind: shard_of(kind, k, shards) for kind, k in self.different.items()}
@@ -418,6 +489,7 @@ def ppm_scores(docs: DataFrame, spec: PpmSpec = PpmSpec()) -> DataFrame:
     v, n_train = int(totals.v or 0), int(totals.n or 0)
     low = docs.sparkSession.sparkContext.broadcast(pickle.dumps(low_counts(trie)))  # at most 2**24 counts
     escapes = escape_table(escape_counts(trie, low, spec.order))
+    repeat_escapes = run_escapes([r["counts"] for r in trie.where(F.col("kind") == REPEATS).select("counts").collect()])
     dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("bigint"))
     asked = dealt.groupBy("block").applyInArrow(lambda rows: _asked(rows, spec, shards), "kind int, shard int, part bigint, keys binary")
     # a call answers at most 2**18 blocks
@@ -446,13 +518,18 @@ def ppm_scores(docs: DataFrame, spec: PpmSpec = PpmSpec()) -> DataFrame:
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-        block, look = Block(texts, spec, shards), {}
+        block, look = Block(texts, spec, shards, scoring=True), {}
         for kind, number in ((WINDOWS, np.float32), (WORDS, np.int64)):
             mine = found.filter(pc.equal(found["kind"], kind))
             look[kind] = block.values(kind, {s: from_planes(v, number) for s, v in zip(mine["shard"].to_pylist(), mine["vals"].to_pylist())})
         n_keys, n_words = np.concatenate(block.n_keys), np.concatenate(block.n_words)
         m = len(n_keys)
         total = sums(look[WINDOWS], block.keys[WINDOWS], n_keys)
+        use, foretold, true, run = block.told
+        other = look[WINDOWS](block.keys[WINDOWS][use])
+        rest = np.log10(np.maximum(1 - 10 ** look[WINDOWS](foretold), 1e-12))
+        instead = np.where(true, np.log10(1 - repeat_escapes[run]), np.log10(repeat_escapes[run]) + other - rest)
+        total += np.bincount(np.searchsorted(np.cumsum(n_keys), use, side="right"), instead - other, minlength=m)
         c = look[WORDS](block.keys[WORDS])  # the first is the end
         row = np.repeat(np.arange(m), n_words)
         base = np.bincount(row, np.log10(c[1:] + 0.5), minlength=m) + np.log10(c[0] + 0.5) - (n_words + 1) * scale

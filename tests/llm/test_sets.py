@@ -317,11 +317,10 @@ def brute_ppm(train, text, order):
     u, c = ppm.distinct(keys)
     low = ppm.merged([u & np.uint64((1 << 24) - 1)], [c])
     escapes = ppm.escape_table(ppm.Trie(order, u, c, low).tally(u, c))
-    b = bytes([ppm.BEGIN] * order) + (text or "").translate(LOWER).encode() + bytes([ppm.END])
     lev = lambda x: int(ppm.level(np.array([x]))[0])
-    total = 0.0
-    for p in range(order, len(b)):
-        excluded, after = set(), 0
+
+    def below(b, p, symbol):
+        total, excluded, after = 0.0, set(), 0
         for j in range(order, -1, -1):
             seen = counts.get(b[p - j : p])
             if not seen:
@@ -330,27 +329,50 @@ def brute_ppm(train, text, order):
             n, t = sum(left.values()), len(left)
             if n:
                 e = escapes[j, after, lev(n), lev(t)]
-                if b[p] in left:
-                    total += math.log10((1 - e) * (2 * left[b[p]] - 1) / (2 * n - t))
-                    break
+                if symbol in left:
+                    return total + math.log10((1 - e) * left[symbol] / n)
                 total += math.log10(e)
             excluded, after = set(seen), 1
+        return total - math.log10(256 - len(excluded))
+
+    def foretold(text):
+        b = bytes([ppm.BEGIN] * ppm.FAR) + (text or "").translate(LOWER).encode() + bytes([ppm.END])
+        last, run = {}, 0
+        for p in range(ppm.FAR, len(b)):
+            told = last.get(b[p - ppm.FAR : p])
+            yield p - ppm.FAR, b[p], told if told is not None and run >= 4 else None, min(round(2 * math.log2(max(run, 1))), ppm.RUNS - 1)
+            run = run + 1 if told == b[p] else 0
+            last[b[p - ppm.FAR : p]] = b[p]
+
+    runs = np.zeros((ppm.RUNS, 2))
+    for t in train:
+        for _, symbol, told, level in foretold(t):
+            if told is not None:
+                runs[level, int(told == symbol)] += 1
+    away = (runs[:, 0] + 1) / (runs.sum(1) + 2)
+    b = bytes([ppm.BEGIN] * order) + (text or "").translate(LOWER).encode() + bytes([ppm.END])
+    total = 0.0
+    for p, symbol, told, level in foretold(text):
+        if told is None:
+            total += below(b, p + order, symbol)
+        elif told == symbol:
+            total += math.log10(1 - away[level])
         else:
-            total -= math.log10(256 - len(excluded))
+            total += math.log10(away[level]) + below(b, p + order, symbol) - math.log10(max(1 - 10 ** below(b, p + order, told), 1e-12))
     return total
 
 
 def test_scores_by_brute_force(spark):
     rng = np.random.default_rng(8)
     syllables = ["ba", "ko", "ri", "tha", "nen"]
-    texts = [*ODD[:8], *(" ".join("".join(rng.choice(syllables, int(k))) for k in rng.integers(1, 4, 30)) for _ in range(40)), "the " * 50]
+    texts = [*ODD[:8], *(" ".join("".join(rng.choice(syllables, int(k))) for k in rng.integers(1, 4, 30)) for _ in range(40)), "the " * 50, "abc def ghi jkl. " * 6 + "abc def ghx jkl. " * 2]
     got = sorted(ppm.ppm_scores(docs_of(spark, texts, extra=True), ppm.PpmSpec(order=4, block_chars=700)).collect(), key=lambda r: r.doc_id)
     n, base = brute_base(texts)
     train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
     for r, t, (tokens, known, score) in zip(got, texts, base):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, n) and r.base_score == pytest.approx(score)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
-    for i in (0, 3, 4, 6, 7, 12, 20, 30, 48):
+    for i in (0, 3, 4, 6, 7, 12, 20, 30, 48, 49):
         assert got[i].score == pytest.approx(brute_ppm(train, texts[i], 4), rel=1e-5)
     assert ppm.ppm_scores(empty(spark)).count() == 0
 
