@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +21,33 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession, failed: Callable[[str, Exception], None] = lambda path, error: None) -> Iterator[None]:
+    """What is materialised inside is deleted at the end.  A deletion that fails is told and does no other harm."""
+    if _staged.get() is not None:
+        yield
+        return
+    token = _staged.set(paths := [])
+    try:
+        yield
+    finally:
+        _staged.reset(token)
+        for path in paths:
+            try:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            except Exception as e:  # noqa: BLE001
+                failed(path, e)
+
+
 def materialized(df: DataFrame, name: str = "staged") -> DataFrame:
     """`df` written once to the shared folder and read back: computed once, kept when executors are lost."""
     path = f"{shared_folder(df.sparkSession)}/ledgerframe/{name}-{uuid.uuid4().hex}"
+    if _staged.get() is not None:
+        _staged.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,21 +5,22 @@ from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
-from itertools import count
+from itertools import count, islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tracking as tracks
 from .audit.entry import ENTRY, entries
 from .audit.spec import AuditSpec, audits, plan_audit
 from .errors import AuditNotSupported, ConstraintViolation, NotConfigured, WriteFailed, WriteNotSupported
 from .events import EventBus
-from .functions.ordinals import materialized
+from .functions.ordinals import materialized, staging
 from .model import TableModel
 from .observers import Needs, Observation, WriteObserver
 from .operators import changes as ch
@@ -177,9 +178,35 @@ class Session:
                 total = ch.BulkResult(total.inserted + r.inserted)
         return total
 
-    def bulk(self, op: Op, name: str, source: DataFrame, call: Call) -> ch.BulkResult:
+    def bulk(self, op: Op, name: str, source: DataFrame | Iterable, call: Call) -> ch.BulkResult:
+        """One bulk write of a DataFrame, or of rows in memory (dictionaries or Rows)."""
         if self.write_options is None:
             raise NotConfigured("the session has no write options")
+        with staging(self.spark, lambda path, e: self.events.publish("write", "StagingCleanupFailed", path=path, error=str(e))):
+            return self._bulk(op, name, self._frame(name, source), call)
+
+    def _frame(self, name: str, source: DataFrame | Iterable) -> DataFrame:
+        if isinstance(source, DataFrame):
+            return source
+        rows = [r.asDict() if hasattr(r, "asDict") else dict(r) for r in source]
+        given = {c for r in rows for c in r}
+        schema = T.StructType([f for f in self.model(name).schema.fields if f.name in given or not rows])
+        return self.spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in rows], T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+
+    def insert_stream(self, name: str, rows: Iterable, batch: int | None = None, call: Call = Call()) -> ch.BulkResult:
+        """Rows from an iterator, a batch in memory at a time, in one transaction."""
+        if call.include_graph:
+            raise WriteNotSupported("a stream of rows can't bring related rows along")
+        size, total, rows = batch or self.write_options.max_batch, 0, iter(rows)
+        with self.transaction():
+            while lot := list(islice(rows, size)):
+                total += self.insert(name, lot, call).inserted
+        return ch.BulkResult(total)
+
+    def bulk_save_changes(self, name: str, current: DataFrame, original: DataFrame | None = None) -> ch.BulkResult:
+        return self.save_changes(name, current, original)
+
+    def _bulk(self, op: Op, name: str, source: DataFrame, call: Call) -> ch.BulkResult:
         model = self.model(name)
         plan = plan_write(model, op, source, call)
         source = materialized(source.select(*[F.col(f"`{c}`") for c in model.columns if c in source.columns]))
@@ -318,6 +345,7 @@ class Session:
         options = self.audit_options
         told = materialized(told, "entries")  # ids are drawn once
         if told.isEmpty():
+            self.events.publish("audit", "AuditSkipped")
             return
         self.events.publish("audit", "EntriesCaptured")
         try:
@@ -337,6 +365,10 @@ class Session:
     def save_changes(self, name: str, current: DataFrame, original: DataFrame | None = None) -> ch.BulkResult:
         """Writes the difference between the rows that were read and `current`: new keys are inserted, changed rows
         updated, missing ones deleted."""
+        with staging(self.spark, lambda path, e: self.events.publish("write", "StagingCleanupFailed", path=path, error=str(e))):
+            return self._save_changes(name, current, original)
+
+    def _save_changes(self, name: str, current: DataFrame, original: DataFrame | None) -> ch.BulkResult:
         if self.write_options is None:
             raise NotConfigured("the session has no write options")
         model = self.model(name)
@@ -362,7 +394,7 @@ class Session:
             audit = self.audit_plans.get(name)
             if audit is not None:
                 self.write_entries(tx, entries(audit, diff, "SaveChanges", self.audit_options))
-        self._snapshots[name] = current
+        self._snapshots[name] = model.filtered(self.store.read(self._manifest(), name, model.schema))
         return result
 
 

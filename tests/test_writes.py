@@ -244,6 +244,28 @@ def test_observers_progress_and_untouched_files(session, spark):
     assert old.count() == 4
 
 
+def test_rows_in_memory_and_staging(session, spark):
+    from ledgerframe.functions.ordinals import shared_folder
+
+    assert session.insert("t", [{"id": 80, "v": 1.0}, {"id": 81, "tenant": "m", "v": 2.0}]).inserted == 2
+    assert session.insert_stream("t", ({"id": i, "v": 0.5} for i in range(90, 97)), batch=3).inserted == 7
+    assert rows_of(session.read("t").where("id = 80")) == [(80, None, 1.0, "none")]
+    with pytest.raises(WriteNotSupported):
+        session.insert_stream("t", [], call=Call(include_graph=True))
+    left = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/ledgerframe")
+    names = [s.getPath().getName() for s in left.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(left)]
+    assert not [n for n in names if n.startswith(("staged", "changes", "entries"))]
+
+
+def test_graph_insert(spark, tmp_path):
+    m = table(spark)
+    parents = spark.createDataFrame([(1, "a", [(10, 5.0)]), (2, "b", [(20, 6.0), (21, 7.0)])], "id long, tenant string, kids array<struct<kid:long,amount:double>>")
+    kid = model_of(spark.createDataFrame([], "kid long, amount double, parent long"), "kid", key=("kid",), references=(ForeignKey(("parent",), "t", ("id",)),))
+    s = Session(spark, f"file://{tmp_path}/g", [m, kid], write=WriteOptions())
+    assert s.insert_graph("t", parents, (graph.Branch("kids", kid, "parent", "id"),)).inserted == 5
+    assert rows_of(s.read("kid")) == [(10, 5.0, 1), (20, 6.0, 2), (21, 7.0, 2)]
+
+
 def test_configuration_is_required(spark, tmp_path):
     s = Session(spark, f"file://{tmp_path}/s", [table(spark)])
     with pytest.raises(NotConfigured):
