@@ -179,7 +179,7 @@ def compare_with_next(docs: DataFrame, spec: PrintSpec = PrintSpec()) -> DataFra
     ids = source.select("doc_id").where(F.col("doc_id").isNotNull())
     cuts = []
     if blocks > 1:
-        found = ids.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], F.lit(max(10_000, 20 * blocks))).alias("c")).first().c
+        found = ids.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], F.lit(min(1_000_000, max(10_000, 20 * blocks)))).alias("c")).first().c
         cuts = sorted(set(found or []))
     # ranges are numbered by the cuts at or below an id; a null id is in the first
     at = docs.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))
