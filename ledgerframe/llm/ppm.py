@@ -50,7 +50,7 @@ END_WORD = np.uint64(0x0E0D0E0D0E0D0E0D)
 WINDOWS, WORDS, REPEATS = 0, 1, 2
 
 #: Bytes or keys handled at once, so that arrays of them stay near the processor.
-SLICE = 1 << 19
+SLICE, NEAR = 1 << 19, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -88,9 +88,9 @@ def windows(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
 FAR, RUNS = 7, 13
 
 
-def repeats(column: pa.Array, least_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeats(column: pa.Array, least_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Where a byte is foretold within its text: place among the windows, the byte foretold, whether it came true,
-    and the level of the run of true ones before it."""
+    and the level of the run of true ones before it; and the number of windows."""
     w, n = windows(column, FAR)
     row, context, symbol = np.repeat(np.arange(len(n)), n), w >> u64(8), (w & u64(255)).astype(np.int64)
     before = last_places(context, row)
@@ -104,27 +104,32 @@ def repeats(column: pa.Array, least_run: int) -> tuple[np.ndarray, np.ndarray, n
     run[1:] = place[1:] - np.maximum.accumulate(reset)[:-1]
     run[start] = 0
     use = np.flatnonzero((before >= 0) & (run >= least_run))
-    return use, told[use], true[use], np.minimum(np.rint(2 * np.log2(np.maximum(run[use], 1))), RUNS - 1).astype(np.int64)
+    return use, told[use], true[use], np.minimum(np.rint(2 * np.log2(np.maximum(run[use], 1))), RUNS - 1).astype(np.int64), len(w)
 
 
 def last_places(context: np.ndarray, row: np.ndarray) -> np.ndarray:
     """For each place the last one before it with its context in its text, or -1.  Places are sorted by 40 bits of a
     hash, place last; groups in which contexts differ are sorted anew by all."""
-    out = np.full(len(context), -1, np.int64)
-    if len(context) >= 1 << 24:
+    n = len(context)
+    h = (context * u64(0x9E3779B97F4A7C15) + row.astype(np.uint64)) * u64(0xC2B2AE3D27D4EB4F)
+    if n >= 1 << 24:
         order = np.lexsort((context, row))
+        c, r = context[order], row[order]
+        same = (c[1:] == c[:-1]) & (r[1:] == r[:-1])
     else:
-        h = mix(context ^ (row.astype(np.uint64) * u64(0xD6E8FEB86659FD93)))
-        order = (np.sort((h & ~u64((1 << 24) - 1)) | np.arange(len(context), dtype=np.uint64)) & u64((1 << 24) - 1)).astype(np.int64)
-        group = h[order] >> u64(24)
-        clash = np.zeros(len(order), bool)
-        clash[1:] = (group[1:] == group[:-1]) & ((context[order[1:]] != context[order[:-1]]) | (row[order[1:]] != row[order[:-1]]))
-        if clash.any():
+        key = np.sort((h & ~u64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64))
+        order, group = (key & u64((1 << 24) - 1)).astype(np.int64), key >> u64(24)
+        c, r = context[order], row[order]
+        same = (c[1:] == c[:-1]) & (r[1:] == r[:-1])
+        clash = np.flatnonzero((group[1:] == group[:-1]) & ~same)
+        if len(clash):
             mixed = np.flatnonzero(np.isin(group, group[clash]))
             own = order[mixed]
-            order[mixed] = own[np.lexsort((own, context[own], row[own], h[own] >> u64(24)))]
-    same = (context[order[1:]] == context[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-    out[order[1:][same]] = order[:-1][same]
+            order[mixed] = own[np.lexsort((own, context[own], row[own], group[mixed]))]
+            c, r = context[order], row[order]
+            same = (c[1:] == c[:-1]) & (r[1:] == r[:-1])
+    out, at = np.full(n, -1, np.int64), np.flatnonzero(same)
+    out[order[at + 1]] = order[at]
     return out
 
 
@@ -217,8 +222,9 @@ def trained(docs: DataFrame, spec: PpmSpec, shards: int) -> DataFrame:
                     held[kind][1].append(c)
                 held[WORDS][0].append(np.array([END_WORD]))
                 held[WORDS][1].append(np.array([batch.num_rows], np.int64))
-                _, _, true, level_ = repeats(batch.column("text"), spec.least_run)
-                np.add.at(runs, (level_, true.astype(np.int64)), 1)
+                for part_ in slices(batch, most=NEAR):
+                    _, _, true, level_, _ = repeats(part_.column("text"), spec.least_run)
+                    np.add.at(runs, (level_, true.astype(np.int64)), 1)
                 for kind in held:
                     if len(held[kind][0]) > 24:
                         fold(kind)
@@ -372,27 +378,27 @@ def escape_table(tally: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Values by 64-bit key: a table of slots, and a search for the few keys that share one."""
+    """Values by 64-bit key: a table of slots, each a key beside its value, and a search for the few keys that share
+    one."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        bits = max(4, int(4 * len(keys)).bit_length())
+        """keys ascend."""
+        self.keys, self.values = keys, values
+        bits = max(4, int(2 * len(keys)).bit_length())
         self.shift = u64(64 - bits)
-        self.slot_key = np.zeros(1 << bits, np.uint64)
-        self.slot_at = np.full(1 << bits, -1, np.int64)
-        s = self.slots(self.keys)
-        self.slot_key[s], self.slot_at[s] = self.keys, np.arange(len(keys))
+        self.slots = np.zeros((1 << bits, 2), np.uint64)
+        s = self.slot(keys)
+        self.slots[s, 0], self.slots[s, 1] = ~keys, values.astype(np.float64).view(np.uint64)  # an empty slot has key ~0
 
-    def slots(self, x: np.ndarray) -> np.ndarray:
+    def slot(self, x: np.ndarray) -> np.ndarray:
         return (x * u64(0x9E3779B97F4A7C15)) >> self.shift
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        s = self.slots(x)
-        at = self.slot_at[s]
-        rest = np.flatnonzero((self.slot_key[s] != x) | (at < 0))
-        at[rest] = np.searchsorted(self.keys, x[rest])
-        return self.values[at]
+        found = np.take(self.slots, self.slot(x), axis=0)
+        out = found[:, 1].copy().view(np.float64)
+        rest = np.flatnonzero(found[:, 0] != ~x)
+        out[rest] = self.values[np.searchsorted(self.keys, x[rest])]
+        return out
 
 
 def run_escapes(counts: list[bytes]) -> np.ndarray:
@@ -441,9 +447,12 @@ class Block:
                     found.append(k)
                     counts.append(n)
                 if scoring:
-                    use, byte, true, run = repeats(batch.column("text"), spec.least_run)
-                    told.append((use + before, (keys[-1][use] & ~u64(255)) | byte.astype(np.uint64), true, run))
-                    before += len(keys[-1])
+                    at = 0
+                    for part in slices(batch, most=NEAR):
+                        use, byte, true, run, n = repeats(part.column("text"), spec.least_run)
+                        told.append((use + at + before, (keys[-1][use + at] & ~u64(255)) | byte.astype(np.uint64), true, run))
+                        at += n
+                    before += at
         if scoring:
             self.told = [np.concatenate(x) for x in zip(*told)]
         self.keys = {WINDOWS: np.concatenate(keys), WORDS: np.concatenate(words)}
