@@ -74,11 +74,17 @@ def _null_row(model: TableModel) -> Column:
     return F.lit(None).cast(model.schema)
 
 
+def matched_keys(target: DataFrame, keys: DataFrame, plan: WritePlan) -> DataFrame:
+    """The target's match values that are among `keys`.  A small `keys` is sent to the target's scan, so that the
+    target itself isn't shuffled; what remains is at most as large as `keys`."""
+    return target.select(*[_c(c) for c in plan.match]).join(keys, _on(plan), "left_semi").distinct()
+
+
 def tally(target: DataFrame, s: DataFrame, plan: WritePlan) -> int:
     """Number of source rows that found a target.  Raises where one found none, or two met on one key."""
     keys = [f"s__{c}" for c in plan.match]
     wanted = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    there = target.select(*[_c(c) for c in plan.match]).distinct().withColumn("t__hit", F.lit(True))
+    there = matched_keys(target, wanted.select(*keys), plan).withColumn("t__hit", F.lit(True))
     r = wanted.join(there, _on(plan), "left").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("t__hit").isNull(), F.col("n"))).alias("missing"), F.sum(F.when(F.col("t__hit") & (F.col("n") > 1), 1)).alias("twice")
     ).first()
@@ -142,9 +148,12 @@ def delete(target: DataFrame, source: DataFrame, plan: WritePlan) -> ChangeSet:
     return ChangeSet(plan, target.join(s, _on(plan), "left_anti"), changes, matched=n)
 
 
-def merge(target: DataFrame, source: DataFrame, plan: WritePlan, scope: Scope | None = None) -> ChangeSet:
+def merge(target: DataFrame, source: DataFrame, plan: WritePlan, scope: Scope | None = None, small: bool = False) -> ChangeSet:
     """Matched rows are updated, source rows without a match inserted; in a synchronize, rows in scope without a
-    source row are deleted.  Rows whose scope is unknown stay.  With nothing to update, matched rows stay."""
+    source row are deleted.  Rows whose scope is unknown stay.  With nothing to update, matched rows stay.
+
+    One full outer join; or, for a `small` source and where the store assigns numbers, a left join and the source rows
+    without a match, in which the planner may send the source to the target's scan and shuffle nothing."""
     model, s = plan.model, staged(source, plan)
     require_single(s, plan)
     inside = F.coalesce(scope.predicate(model), F.lit(False)) if scope is not None else F.lit(True)
@@ -162,11 +171,13 @@ def merge(target: DataFrame, source: DataFrame, plan: WritePlan, scope: Scope |
             return F.when(F.col("t__hit"), _c(c)) if c in sequences else F.when(F.col("t__hit"), _c(c)).otherwise(F.expr(model.generated[c]))
         return F.when(F.col("t__hit"), _c(c)).otherwise(F.lit(model.defaults.get(c)))
 
-    joined = t.join(s, _on(plan), "full_outer" if not sequences else "left")
+    apart = small or bool(sequences)
+    joined = t.join(s, _on(plan), "left" if apart else "full_outer")
     rows = joined.select(action.alias("op"), F.col("t__hit").alias("was"), _row(model, _c).alias("old"), _row(model, value).alias("new"))
-    if sequences:
-        fresh = s.join(target, _on(plan), "left_anti").select(*[_c(f"s__{c}").alias(c) for c in plan.staged])
-        fresh = complete(fresh, target, plan, list(plan.match))
+    if apart:
+        there = matched_keys(target, s.select(*[f"s__{c}" for c in plan.match]), plan)
+        fresh = s.join(there, _on(plan), "left_anti").select(*[_c(f"s__{c}").alias(c) for c in plan.staged])
+        fresh = complete(fresh, target, plan, list(plan.match) if sequences else None)
         rows = rows.unionAll(fresh.select(F.lit(INSERT).alias("op"), F.lit(None).cast("boolean").alias("was"), _null_row(model).alias("old"), _row(model, _c).alias("new")))
     stay = F.col("op").isNull() | (F.col("op") != DELETE)
     following = rows.where(stay).select("new.*")

@@ -79,12 +79,12 @@ class OnUnsupported(Enum):
 
 @dataclass(frozen=True)
 class WriteOptions:
-    """Of a session: `threshold` rows make a change batch worth a set-based write; `broadcast_rows` bounds the
-    staged side that may be broadcast."""
+    """Of a session: `threshold` rows make a change batch worth a set-based write; up to `broadcast_rows`
+    source rows a merge is planned for a source that travels to the target."""
 
     threshold: int = 100
     max_batch: int = 50_000
-    broadcast_rows: int = 5_000
+    broadcast_rows: int = 100_000
     on_unsupported: OnUnsupported = OnUnsupported.FALL_BACK
     validate_constraints: bool = True
     timeout_seconds: float | None = None

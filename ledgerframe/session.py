@@ -291,7 +291,8 @@ class Session:
         elif plan.op is Op.DELETE:
             change = ch.delete(target, source, plan)
         else:
-            change = ch.merge(target, source, plan, call.scope)
+            small = source.limit(self.write_options.broadcast_rows + 1).count() <= self.write_options.broadcast_rows
+            change = ch.merge(target, source, plan, call.scope, small)
         change.changes = materialized(change.changes, "changes")
         if self.write_options.validate_constraints:
             self._validate(tx, plan, change)
@@ -316,7 +317,7 @@ class Session:
                     continue
                 keys = [F.col(f"`{c}`") for c in unique]
                 mine = added.select(*keys).dropna()
-                twice = mine.groupBy(*unique).count().where("count > 1").limit(1).count() or mine.join(stored.select(*keys), list(unique), "left_semi").limit(1).count()
+                twice = mine.groupBy(*unique).count().where("count > 1").limit(1).count() or stored.select(*keys).join(mine, list(unique), "left_semi").limit(1).count()
                 if twice:
                     raise ConstraintViolation(f"{model.name}: {', '.join(unique)} must be unique")
         for ref in model.references:
@@ -324,8 +325,10 @@ class Session:
                 parent = self.store.read(tx.now, ref.table, self.models[ref.table].schema)
                 if ref.table == model.name:
                     parent = parent.unionByName(fresh)
-                on = reduce(lambda a, b: a & b, [F.col(f"c.`{c}`") == F.col(f"p.`{r}`") for c, r in zip(ref.columns, ref.references)])
-                orphans = fresh.dropna(subset=list(ref.columns)).alias("c").join(parent.alias("p"), on, "left_anti").limit(1).count()
+                wanted = fresh.dropna(subset=list(ref.columns)).select(*[F.col(f"`{c}`").alias(f"w__{i}") for i, c in enumerate(ref.columns)]).distinct()
+                on = reduce(lambda a, b: a & b, [F.col(f"`{r}`") == F.col(f"w__{i}") for i, r in enumerate(ref.references)])
+                there = parent.select(*[F.col(f"`{r}`") for r in ref.references]).join(wanted, on, "left_semi").distinct()
+                orphans = wanted.join(there, on, "left_anti").limit(1).count()
                 if orphans:
                     raise ConstraintViolation(f"{model.name}: {', '.join(ref.columns)} refers to no row of {ref.table}")
 

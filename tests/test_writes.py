@@ -114,6 +114,8 @@ def test_merge_against_a_dictionary(spark, target, source, op):
     make = lambda d: spark.createDataFrame([(k, "a", float(v), None) for k, v in d.items()], SCHEMA)
     src = make(source)
     c = ch.merge(make(target), src, plan_write(table(spark), op, src))
+    d = ch.merge(make(target), src, plan_write(table(spark), op, src), small=True)
+    assert rows_of(c.next) == rows_of(d.next) and rows_of(c.changes) == rows_of(d.changes)
     want = {**({} if op is Op.SYNCHRONIZE else target), **source}
     assert {r.id: r.v for r in c.next.collect()} == want
     assert c.result == ch.BulkResult(len(source.keys() - target.keys()), len(source.keys() & target.keys()), len(target.keys() - source.keys()) if op is Op.SYNCHRONIZE else 0)
