@@ -16,6 +16,7 @@ and changes nothing; groups whose documents and tokens are both 0 are left out o
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,7 @@ class RollupStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.path}/deltas"))
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration())
 
     def batches(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/deltas")))
@@ -79,12 +81,16 @@ class RollupStore:
         done = self._path(f"{self.path}/deltas/{batch}")
         if self._fs.exists(done):
             return False
-        work = f"{self.path}/work-{batch}"
+        work = f"{self.path}/work-{batch}-{uuid.uuid4().hex}"
         signed(changes).coalesce(1).write.mode("overwrite").parquet(work)
-        # where another writer was first, a rename moves the folder inside theirs; undo that
-        if self._fs.exists(done) or not self._fs.rename(self._path(work), done):
+        plain = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self._context.rename(self._path(work), done, plain)  # fails where the folder exists
+        except Exception:
             self._fs.delete(self._path(work), True)
-            return False
+            if self._fs.exists(done):  # another writer was first
+                return False
+            raise
         return True
 
     def totals(self) -> DataFrame:
