@@ -6,8 +6,9 @@ programme over a bitset of reachable fills picks the multiset of remaining lengt
 capacity, the counts are read back from the bitsets before each step, and the multiset is used as often as the
 remaining counts allow.
 
-Blocks are dealt by a hash of the id and hold about `block_docs` rows, so no task grows with the input, and only
-(id, start, length, checksum) rows are shuffled; at most one window a block stays partly filled.
+Blocks are dealt by a hash of id, place and checksum and hold the pieces of about `block_docs` rows, so neither an id
+nor a source gathers in one and no task grows with the input; only (id, start, length, checksum) rows are shuffled.
+The last few windows of a block stay partly filled.
 
 Defined results: a null or empty text is the closing id alone; repeated rows and null ids are packed like any
 other row; an empty table gives an empty result; columns besides doc_id and text are not read; a text of any
@@ -160,7 +161,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, files: tuple[st
     """Every piece of every row with its sequence and its offset there."""
     n_blocks = pieces(docs.count(), block_docs)
     cut = token_pieces(docs, window, end_id, files, with_ids)
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("bigint"))
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_blocks)).cast("bigint"))
 
     def one(block: pa.Table) -> pa.Table:
         block = block.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "doc_tokens")])

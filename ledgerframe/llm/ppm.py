@@ -499,7 +499,7 @@ def ppm_scores(docs: DataFrame, spec: PpmSpec = PpmSpec()) -> DataFrame:
     low = docs.sparkSession.sparkContext.broadcast(pickle.dumps(low_counts(trie)))  # at most 2**24 counts
     escapes = escape_table(escape_counts(trie, low, spec.order))
     repeat_escapes = run_escapes([r["counts"] for r in trie.where(F.col("kind") == REPEATS).select("counts").collect()])
-    dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("bigint"))
+    dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("bigint"))
     asked = dealt.groupBy("block").applyInArrow(lambda rows: _asked(rows, spec, shards), "kind int, shard int, part bigint, keys binary")
     # a call answers at most 2**18 blocks
     lots = (blocks >> 18) + 1
