@@ -7,8 +7,10 @@ capacity, the counts are read back from the bitsets before each step, and the mu
 remaining counts allow.
 
 Blocks are dealt by a hash of id, place and checksum and hold the pieces of about `block_docs` rows, so neither an id
-nor a source gathers in one and no task grows with the input; only (id, start, length, checksum) rows are shuffled.
-The last few windows of a block stay partly filled.
+nor a source gathers in one and no task grows with the input.  Remainders longer than half a window may outnumber
+those that fit beside them, so about every sixteenth remainder (by checksum) takes its ids along and is cut as needed:
+first into the windows that the multisets left open, then end to end into windows of its own.  One window a block
+stays partly filled.  Of all other pieces only (id, start, length, checksum) rows are shuffled.
 
 Defined results: a null or empty text is the closing id alone; repeated rows and null ids are packed like any
 other row; an empty table gives an empty result; columns besides doc_id and text are not read; a text of any
@@ -32,6 +34,11 @@ from .common import columns, pieces, slices
 
 WINDOW = 1024
 
+#: One remainder in so many may be cut into any pieces.
+LOOSE = 16
+
+PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
+
 
 @cache
 def encoder(path: str, ranks: str):
@@ -104,7 +111,8 @@ def fill_windows(counts: list[int], capacity: int) -> list[tuple[dict[int, int],
 
 
 def token_pieces(docs: DataFrame, window: int = WINDOW, end_id: int = 0, files: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens (and `ids`, little-endian, if asked) of every piece."""
+    """doc_id, start, length, ids_crc32, doc_tokens and `ids` of every piece; ids, little-endian, are there for
+    remainders that may be cut further, or for all pieces if asked."""
     files = files or default_files()
 
     def run(batches):
@@ -123,20 +131,16 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, end_id: int = 0, files:
                         length.append(len(piece) // 4)
                         crc.append(zlib.crc32(piece))
                         total.append(n)
-                        if with_ids:
-                            ids.append(piece)
+                        loose = len(piece) < 4 * window and crc[-1] % LOOSE == 0
+                        ids.append(piece if with_ids or loose else None)
                 parts = [batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                if with_ids:
-                    parts, names = [*parts, pa.array(ids, pa.binary())], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(parts, names)
+                yield pa.RecordBatch.from_arrays([*parts, pa.array(ids, pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids
-    return columns(docs, doc_id="bigint", text="string").mapInArrow(run, schema)
+    return columns(docs, doc_id="bigint", text="string").mapInArrow(run, PIECE)
 
 
-def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each piece of a block."""
+def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence number and offset of each piece of a block, and how far each sequence is filled."""
     seq, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     whole = np.flatnonzero(lengths == window)
     seq[whole] = np.arange(len(whole))
@@ -154,7 +158,26 @@ def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
                 seq[rows], offset[rows] = numbers, at
                 at += x
         following += times
-    return seq, offset
+    return seq, offset, np.bincount(seq, lengths, minlength=following).astype(np.int64)
+
+
+def pour(lengths: np.ndarray, fills: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
+    """Cuts pieces so that they fill the open sequences and then sequences of their own without gaps:
+    (piece, begin in it, length, sequence, offset)."""
+    room = [(int(s), int(fills[s])) for s in np.flatnonzero(fills < window)]
+    out, following = [], len(fills)
+    number, at = room.pop(0) if room else (following, 0)
+    following += number == following
+    for piece, length in enumerate(lengths.tolist()):
+        begin = 0
+        while begin < length:
+            if at == window:
+                number, at = room.pop(0) if room else (following, 0)
+                following += number == following
+            n = min(length - begin, window - at)
+            out.append((piece, begin, n, number, at))
+            begin, at = begin + n, at + n
+    return out
 
 
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, files: tuple[str, str] | None = None, block_docs: int = 4096, with_ids: bool = False) -> DataFrame:
@@ -165,9 +188,24 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, files: tuple[st
 
     def one(block: pa.Table) -> pa.Table:
         block = block.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "doc_tokens")])
-        seq, offset = place(block["length"].to_numpy(), window)
+        lengths, crc = block["length"].to_numpy(), block["ids_crc32"].to_numpy()
+        is_loose = (lengths < window) & (crc % LOOSE == 0)
         base = block["block"][0].as_py() << 32
-        return block.drop_columns(["block"]).append_column("sequence_id", pa.array(base + seq)).append_column("offset", pa.array(offset))
-
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids + ", sequence_id bigint, offset bigint"
-    return dealt.groupBy("block").applyInArrow(one, schema)
+        firm, loose = block.filter(pa.array(~is_loose)), block.filter(pa.array(is_loose))
+        seq, offset, fills = place(firm["length"].to_numpy(), window)
+        poured = pour(loose["length"].to_numpy(), fills, window)
+        ids = loose["ids"].to_pylist()
+        slices_ = [ids[i][4 * a : 4 * (a + n)] for i, a, n, _, _ in poured]
+        source = loose.take(pa.array([p[0] for p in poured], pa.int64()))
+        begin = pa.array([p[1] for p in poured], pa.int64())
+        parts = pa.table({
+            "doc_id": source["doc_id"], "start": pc.add(source["start"], begin), "length": pa.array([p[2] for p in poured], pa.int64()),
+            "ids_crc32": pa.array([zlib.crc32(x) for x in slices_], pa.int64()), "doc_tokens": source["doc_tokens"], "ids": pa.array(slices_, pa.binary()),
+            "sequence_id": pa.array([base + p[3] for p in poured], pa.int64()), "offset": pa.array([p[4] for p in poured], pa.int64()),
+        })
+        rest = firm.drop_columns(["block"]).append_column("sequence_id", pa.array(base + seq)).append_column("offset", pa.array(offset))
+        out = pa.concat_tables([rest, parts.cast(rest.schema)])
+        return out if with_ids else out.drop_columns(["ids"])
+
+    shape = PIECE + ", sequence_id bigint, offset bigint"
+    return dealt.groupBy("block").applyInArrow(one, shape if with_ids else shape.replace(", ids binary", ""))

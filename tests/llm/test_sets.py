@@ -245,7 +245,7 @@ def test_pack_round_trip(spark):
             at += r.length
         assert at <= 1024
     total = sum(r.length for r in rows)
-    assert len(seqs) <= -(-total // 1024) + 6  # a block's last windows stay partly filled
+    assert len(seqs) <= -(-total // 1024) + 2  # few remainders may be cut here
     assert packing.pack(empty(spark)).count() == 0
 
 
