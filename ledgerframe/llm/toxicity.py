@@ -298,7 +298,7 @@ def learn(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
             texts.append(r.text)
             classes.append(r.toxic)
             size += len(r.text or "")
-            if size >= SLICE_BYTES // 4:
+            if size >= SLICE_BYTES // 2:
                 yield pa.array(texts, pa.string()), np.array(classes)
                 texts, classes, size = [], [], 0
         if texts:
