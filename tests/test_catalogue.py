@@ -1,6 +1,5 @@
 """Every query with an SQL form against DuckDB on the smallest tables."""
 
-import glob
 import os
 
 import duckdb
