@@ -126,8 +126,12 @@ def insert(target: DataFrame, source: DataFrame, plan: WritePlan, order: list[st
     """Every source row is a new row.  `order` says in which order generated numbers are given."""
     rows = source.select(*[_c(c).cast(plan.model.schema[c].dataType).alias(c) for c in plan.write])
     rows = complete(rows, target, plan, order)
-    changes = rows.select(F.lit(INSERT).alias("op"), _null_row(plan.model).alias("old"), _row(plan.model, _c).alias("new"))
-    return ChangeSet(plan, target.unionByName(rows), changes, inserted_rows=rows)
+    return ChangeSet(plan, target.unionByName(rows), inserted(rows, plan.model), inserted_rows=rows)
+
+
+def inserted(rows: DataFrame, model: TableModel) -> DataFrame:
+    """Changes that add `rows`."""
+    return rows.select(F.lit(INSERT).alias("op"), _null_row(model).alias("old"), _row(model, _c).alias("new"))
 
 
 def update(target: DataFrame, source: DataFrame, plan: WritePlan) -> ChangeSet:

@@ -284,8 +284,11 @@ class Session:
         target = self.store.read(tx.now, model.name, model.schema, only=touched)
         if plan.op is Op.INSERT:
             change = ch.insert(everything, source, plan)
-            rows = materialized(change.inserted_rows)
-            change = ch.ChangeSet(plan, rows, rows.select(F.lit("INSERT").alias("op"), F.lit(None).cast(model.schema).alias("old"), F.struct(*[F.col(f"`{c}`") for c in model.columns]).alias("new")), inserted_rows=rows)
+            if any(how != "sequence" for how in model.generated.values()):  # an expression may give something else each time
+                rows = materialized(change.inserted_rows)
+                change = ch.ChangeSet(plan, rows, ch.inserted(rows, model), inserted_rows=rows)
+            else:
+                change.next = change.inserted_rows
         elif plan.op is Op.UPDATE:
             change = ch.update(target, source, plan)
         elif plan.op is Op.DELETE:
@@ -293,7 +296,8 @@ class Session:
         else:
             small = source.limit(self.write_options.broadcast_rows + 1).count() <= self.write_options.broadcast_rows
             change = ch.merge(target, source, plan, call.scope, small)
-        change.changes = materialized(change.changes, "changes")
+        if plan.op is not Op.INSERT:
+            change.changes = materialized(change.changes, "changes")
         if self.write_options.validate_constraints:
             self._validate(tx, plan, change)
         written = self.store.write(model.name, change.next, self._sort(model.name)) if plan.op is Op.INSERT or touched or plan.op in (Op.MERGE, Op.SYNCHRONIZE) else []
