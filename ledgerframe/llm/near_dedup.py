@@ -156,20 +156,21 @@ def banded(nodes: DataFrame, spec: NearSpec) -> DataFrame:
 
 
 def likely_forest(sig: np.ndarray, table: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs that no batch prunes."""
-    edges, waiting, left = [], [], np.arange(len(sig))
+    """(first, other) for the components of the pairs that no batch prunes: stars around their first rows."""
+    edges, waiting, left, root = [], [], np.arange(len(sig)), 0
     while len(left):
         if waiting:
             at = waiting.pop()
         else:
             at, left = left[0], left[1:]
+            root = int(at)
         alive, seen, agree = left, 0, np.zeros(len(left), np.int64)
         for n, least in table:
             agree = agree + (sig[alive, seen:n] == sig[at, seen:n]).sum(1)
             go = agree >= least
             alive, agree, seen = alive[go], agree[go], n
         if len(alive):
-            edges += [(int(at), int(x)) for x in alive]
+            edges += [(root, int(x)) for x in alive]
             waiting += alive.tolist()
             left = left[~np.isin(left, alive)]
     return edges
@@ -226,16 +227,18 @@ class SetGroup:
         return others[both * den >= (n + s[at] - both) * num]
 
     def forest(self, rows: np.ndarray) -> list[tuple[int, int]]:
-        """Edges of a spanning forest of the links among `rows`: every pair of different components is compared."""
-        edges, waiting, left = [], [], rows
+        """(first, other) for the components of the links among `rows`, stars around their first rows; every pair of
+        different components is compared."""
+        edges, waiting, left, root = [], [], rows, 0
         while len(left):
             if waiting:
                 at = waiting.pop()
             else:
                 at, left = left[0], left[1:]
+                root = int(at)
             found = self.linked(int(at), left)
             if len(found):
-                edges += [(int(at), int(x)) for x in found]
+                edges += [(root, int(x)) for x in found]
                 waiting += found.tolist()
                 left = left[~np.isin(left, found)]
         return edges
