@@ -94,6 +94,24 @@ def test_near_rows_without_ids_and_with_repeats(spark):
     assert near.near_digest(empty(spark)).count() == 0 and near.without_near_copies(empty(spark)).count() == 0
 
 
+def test_stage_takes_copies_from_four_fifths(spark):
+    base = [f"w{i}" for i in range(104)]
+    near_copy, far_copy = list(base), list(base)
+    for i in (20, 60):
+        near_copy[i] = "other"  # 90 of 110 shingles are shared: 0.818
+    for i in (20, 50, 80):
+        far_copy[i] = "else"  # 85 of 115: 0.739
+    texts = [" ".join(x) for x in (base, near_copy, far_copy)]
+    sets = [shingles(t) for t in texts]
+    alike = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
+    assert 0.8 <= alike[0] < 0.85 and alike[1] < 0.8
+    left = corpus_pipeline.near_dedup(spark, docs_of(spark, texts), "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2]
+    assert all(r.kept for r in near.near_digest(docs_of(spark, texts)).collect())
+    for spec in (near.NearSpec(), near.STAGE):
+        assert (1 - spec.threshold**spec.rows) ** spec.bands < 4.3e-7 and spec.bands * spec.rows % spec.batch == 0
+
+
 def test_pruning_bound():
     for n, least in near.pruning_table(near.NearSpec()):
         assert 0 < least <= n * 0.85
