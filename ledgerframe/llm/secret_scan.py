@@ -7,7 +7,9 @@ whose header is that of a signed token are reported besides the base patterns.
 Defined results: a null text counts as empty and has no spans; ids may be null or repeat, each row is scanned
 by itself; an empty table gives an empty result; columns besides doc_id and text are not read.  Texts are
 scanned whole whatever their length.  A candidate that decodes to text is searched once more inside, so a
-key wrapped twice is found; the span is that of the outer candidate.
+key wrapped twice is found; the span is that of the outer candidate.  Line breaks may be escaped (JSON, string
+literals); base64 without armour is joined over lines of one width and a shorter last one.  A token begins with a
+dotted part and has three parts, or five if its header names an encryption; what follows after a dot is not its.
 """
 
 from __future__ import annotations
@@ -31,13 +33,16 @@ KINDS = ("assign", "access", "hex", "pem", "token", "key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so these are the runs of 24 and more
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----([A-Za-z0-9+/=\s:,-]*?)-----END \1PRIVATE KEY-----")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
+_PEM = re.compile(r"""-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:[A-Za-z0-9+/=\s:,\\"']++|-(?!----))*+)-----END \1PRIVATE KEY-----""")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]*+){2,}+")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_BREAK = r"(?:(?:\\+[nrt])+|\r?\n[\x20\t]*+)"
+_WRAPPED = re.compile(r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]{40,}+(?:" + _BREAK + r"[A-Za-z0-9+/_-]++)++={0,2}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_KEY = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 
 #: Texts without any of these can't hold a span; RE2 runs it on whole Arrow columns.
-_HINT = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|PRIVATE KEY-----|[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{2,}\.|[A-Za-z0-9+/_-]{40}|[0-9A-Fa-f]{48}"
+_HINT = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|PRIVATE KEY-----|[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{2,}\.|[A-Za-z0-9_-]{8}\.\.[A-Za-z0-9_-]|[A-Za-z0-9+/_-]{40}|[0-9A-Fa-f]{48}"
 
 
 def _der_sequence(blob: bytes, at: int, end: int) -> tuple[int, int] | None:
@@ -116,16 +121,68 @@ def decoded(run: str) -> bytes | None:
         return None
 
 
-def signed_header(part: str) -> bool:
-    """Whether the part is a signed or encrypted token's JSON header."""
+def token_header(part: str) -> dict | None:
+    """The JSON header of a signed or encrypted token, if the part is one."""
     blob = decoded(part)
     if not blob or blob[:1] != b"{":
-        return False
+        return None
     try:
         head = json.loads(blob)
     except (ValueError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+        return None
+    return head if isinstance(head, dict) and isinstance(head.get("alg"), str) else None
+
+
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of signed tokens (three parts) and encrypted ones (five, of which the key may be empty)."""
+    for m in _DOTTED.finditer(text):
+        parts, at, i = m[0].split("."), m.start(), 0
+        if _after_escape(text, at):
+            parts[0], at = parts[0][1:], at + 1
+        while i + 2 < len(parts):
+            n, head = 0, token_header(parts[i]) if len(parts[i]) >= 8 else None
+            if head is not None:
+                if isinstance(head.get("enc"), str) and len(parts) - i >= 5 and all(parts[i + 2 : i + 5]):
+                    n = 5
+                elif len(parts[i + 1]) >= 2:
+                    n = 3
+            size = sum(map(len, parts[i : i + max(n, 1)])) + max(n, 1) - 1
+            if n:
+                yield at, at + size
+            at, i = at + size + 1, i + max(n, 1)
+
+
+def _after_escape(text: str, at: int) -> bool:
+    """Whether the character is the letter of an escaped line break or tab."""
+    return at > 0 and text[at - 1] == "\\" and text[at] in "nrt"
+
+
+def pem_body(body: str) -> str:
+    """The base64 text of a PEM body, whose line breaks may be escaped, in one string literal or one for each line."""
+    body = re.sub(r"\\+(?:[nrt]|u000[aAdD9])", "\n", body)
+    body = re.sub(r"\\+(?=\s|/)", "", body)
+    body = re.sub(r"""\\*["']\s*\+?\s*\\*["']""", "\n", body)
+    return re.sub(r"\s+", "", "".join(x for x in body.strip("\"'\\+ \t\r\n").splitlines() if ":" not in x))
+
+
+def wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
+    """For each stretch of base64 lines of one width, the (start, end) in which it may be a value: with the shorter
+    line after it, and without."""
+    for m in _WRAPPED.finditer(text):
+        lines, at = [], m.start()
+        for part in re.split(f"({_BREAK})", m[0]):
+            if _LINE.fullmatch(part):
+                lines.append((at, at + len(part)))
+            at += len(part)
+        width, i = [b - a for a, b in lines], 0
+        while i < len(lines):
+            j = i
+            while j + 1 < len(lines) and width[j + 1] == width[i]:
+                j += 1
+            ends = [k for k in (j + 1, j) if i < k < len(lines) and width[k] <= width[i]]
+            if width[i] >= 40 and ends:
+                yield [(lines[i][0], lines[k][1]) for k in ends]
+            i = j + 1
 
 
 def _inside(blob: bytes, depth: int) -> bool:
@@ -145,21 +202,29 @@ def confirmed(text: str, depth: int = 1) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of candidates that their structure confirms."""
     taken = []
     for m in _PEM.finditer(text):
-        body = "".join(x for x in m[2].splitlines() if ":" not in x)
-        blob = decoded(re.sub(r"\s+", "", body))
+        blob = decoded(pem_body(m[2]))
         if blob and (key_kind(blob) or "ENCRYPTED" in m[2]):
             taken.append(m.span())
             yield *m.span(), "pem"
-    for m in _TOKEN.finditer(text):
-        if signed_header(m[1]):
-            yield *m.span(), "token"
+    for a, b in tokens(text):
+        yield a, b, "token"
+    free = lambda at: not any(a <= at < b for a, b in taken)
+    for spans in wrapped(text):
+        for a, b in spans:
+            blob = decoded(re.sub(_BREAK, "", text[a:b])) if free(a) else None
+            if blob and _inside(blob, depth):
+                taken.append((a, b))
+                yield a, b, "key"
+                break
     for pattern, read in ((_BASE64, decoded), (_HEX_KEY, bytes.fromhex)):
         for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in taken):
+            if not free(m.start()):
                 continue
-            blob = read(m[0])
-            if blob and _inside(blob, depth):
-                yield *m.span(), "key"
+            for at in (m.start(), m.start() + 1) if read is decoded and _after_escape(text, m.start()) else (m.start(),):
+                blob = read(text[at : m.end()])
+                if blob and _inside(blob, depth):
+                    yield at, m.end(), "key"
+                    break
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

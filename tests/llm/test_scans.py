@@ -120,6 +120,59 @@ def test_secrets_are_confirmed_by_structure():
     assert kinds("A" * 100) == [] and kinds("deadbeef" * 20) == [] and kinds("abcdefgh.abcdef.abc") == []
 
 
+def _key():
+    rsa = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([65 + i] * 40)) for i in range(8)))
+    b64 = base64.b64encode(rsa).decode()
+    return b64, [b64[i : i + 64] for i in range(0, len(b64), 64)]
+
+
+def _told(text):
+    return [(text[a:b], k) for a, b, k in sec.confirmed(text)]
+
+
+def test_tokens_before_a_full_stop_and_of_five_parts():
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    signed = f"{part({'alg': 'HS256'})}.e30.c2ln"
+    sealed = f"{part({'alg': 'RSA-OAEP', 'enc': 'A256GCM'})}.a2V5.aXY.dGV4dA.dGFn"
+    direct = f"{part({'alg': 'dir', 'enc': 'A256GCM'})}..aXY.dGV4dA.dGFn"
+    for t in (signed, sealed, direct):
+        for text in (t, f"use {t}. Next", f"use {t}.", f"so...{t}...", f"{t}.Next", f'{{"a":"x\\n{t}\\n"}}'):
+            assert _told(text) == [(t, "token")], text
+            assert re.search(sec._HINT, text)
+    assert _told(f"abcdefgh.abcdefgh.{signed}. {sealed}") == [(signed, "token"), (sealed, "token")]
+    assert _told("abcdefgh.abcdef.abc. a.b.c.d.e abcdefgh..b.c.d") == []
+
+
+def test_keys_with_escaped_line_breaks():
+    b64, lines = _key()
+    assert len(lines) > 3 and len(lines[-1]) < 64
+    pem = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----"])
+    headed = pem.replace("KEY-----\n", "KEY-----\nProc-Type: 4,CLEAR\nDEK-Info: x,y\n\n", 1)
+    literal = lambda t: json.dumps(t)[1:-1]
+    shapes = [pem, literal(pem), literal(literal(pem)), literal(headed), pem.replace("\n", "\\r\\n"), literal(pem).replace("/", "\\/"), pem.replace("\n", '\\n" +\n    "'), pem.replace("\n", "\\n'\n  '"), pem.replace("\n", "\\\n")]
+    for t in shapes:
+        assert _told(f'{{"private_key": "{t}\\n"}}') == [(t, "pem")], t
+    assert [k for _, k in _told(base64.b64encode(json.dumps({"private_key": pem}).encode()).decode())] == ["key"]
+
+
+def test_wrapped_base64_keys():
+    b64, lines = _key()
+    for gap in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n  "):
+        t = gap.join(lines)
+        for text in (t, f"x = '{t}'", f"a\\n{t}\\n", f"key:\n{t}\nThe end"):
+            assert (t.rstrip("="), "key") in [(x.rstrip("="), k) for x, k in _told(text)], text
+    assert _told(f"a\\n{b64}\\nb") == [(b64, "key")]
+    assert _told("\n".join(["A" * 64] * 5)) == [] and _told("\\n".join(["w" * 50, "words", "more"])) == []
+
+
+def test_redaction_blots_out_escaped_keys_and_ended_tokens(spark):
+    _, lines = _key()
+    pem = "\\n".join(["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----"])
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "dir", "enc": "A256GCM"}).encode()).decode().rstrip("=")
+    df = docs_of(spark, [f'{{"k": "{pem}"}}', f"use {head}..aXY.dGV4dA.dGFn. Next"])
+    assert [r.text for r in sec.redact(df).orderBy("doc_id").collect()] == ['{"k": "[secret]"}', "use [secret]. Next"]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = docs_of(spark, ["nothing here", 'x token = "0123456789abcdef0123456789abcdef" y', None], extra=True)
     got = sec.redact(df).orderBy("doc_id").collect()
