@@ -11,11 +11,16 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import NotConfigured
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of the session's spark.checkpoint.dir; one is made only where that is unset."""
+    """The folder of the session's spark.checkpoint.dir.  Where that is unset one is made on this machine, which only a
+    local master shares with its executors; any other is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise NotConfigured("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='ledgerframe-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -52,6 +57,13 @@ def materialized(df: DataFrame, name: str = "staged") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes every table that this library left in the shared folder.  For the end of a job: results that read from
+    them can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/ledgerframe")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_dense_ordinal(df: DataFrame, column: str, order: list[Column] | None = None, start: int = 0) -> DataFrame:
     """Numbers start, start + 1, ... over all rows, in `order` if given.
 

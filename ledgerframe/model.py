@@ -38,7 +38,9 @@ class TableModel:
     key and uniques prove total orders and match rows; `layout` lists the column orders by which data is laid out
     (partitioning, bucketing, sorting), which the advisor treats as indexes; `generated` columns are assigned on
     insert (`sequence`) or computed by an SQL expression; `tokens` are concurrency columns; `filters` are named SQL
-    predicates that reads apply; `checks` are named SQL predicates that rows must not fail.
+    predicates that reads apply; `checks` are named SQL predicates that rows must not fail; `nested` are the branches
+    of nested rows that an insert may bring along; `procedures` are the change states (Added, Modified, Deleted) that
+    a procedure of the store writes and `json` the columns that are changed inside, both never worth a batch.
     """
 
     name: str
@@ -54,7 +56,9 @@ class TableModel:
     filters: dict[str, str] = field(default_factory=dict)
     converters: dict[str, Converter] = field(default_factory=dict)
     checks: dict[str, str] = field(default_factory=dict)
-    nested: tuple[str, ...] = ()
+    nested: tuple[Any, ...] = ()
+    procedures: frozenset[str] = frozenset()
+    json: frozenset[str] = frozenset()
     temporal: bool = False
     mapped: bool = True
 

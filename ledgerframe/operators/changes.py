@@ -59,7 +59,8 @@ def _c(name: str) -> Column:
 def staged(source: DataFrame, plan: WritePlan) -> DataFrame:
     """The source's match and written columns in stored types, prefixed, with a mark."""
     kinds = plan.model.schema
-    return source.select(*[_c(c).cast(kinds[c].dataType).alias(f"s__{c}") for c in plan.staged], F.lit(True).alias("s__hit"))
+    number = [F.col("src__")] if "src__" in source.columns else []
+    return source.select(*[_c(c).cast(kinds[c].dataType).alias(f"s__{c}") for c in plan.staged], F.lit(True).alias("s__hit"), *number)
 
 
 def _on(plan: WritePlan) -> Column:
@@ -102,14 +103,19 @@ def require_single(s: DataFrame, plan: WritePlan) -> None:
         raise ConcurrencyConflict(f"two source rows meet on one row of {plan.model.name}")
 
 
-def complete(rows: DataFrame, target: DataFrame, plan: WritePlan, order: list[str] | None = None) -> DataFrame:
+def assigned(plan: WritePlan, have: list[str]) -> list[str]:
+    """Columns of new rows that get the next numbers of a sequence."""
+    return [c for c, how in plan.model.generated.items() if how == "sequence" and c not in plan.match and c not in have]
+
+
+def complete(rows: DataFrame, target: DataFrame, plan: WritePlan, order: list[str] | None = None, starts: dict[str, int] | None = None) -> DataFrame:
     """New rows with every column of the table: given ones, defaults for columns that the source lacks (a given
-    null stays null), the next numbers of a sequence, and computed expressions."""
+    null stays null), the next numbers of a sequence, and computed expressions.  `starts` says where sequences go
+    on; without it they follow the target's largest number, so the target must then be the whole table."""
     model = plan.model
-    have = set(rows.columns)
-    for c in [c for c, how in model.generated.items() if how == "sequence" and c not in plan.match and c not in have]:
-        last = target.agg(F.max(_c(c)).alias("m")).first().m
-        rows = with_dense_ordinal(rows, c, [_c(o) for o in order] if order else None, (last or 0) + 1)
+    for c in assigned(plan, rows.columns):
+        start = starts[c] if starts else (target.agg(F.max(_c(c)).alias("m")).first().m or 0) + 1
+        rows = with_dense_ordinal(rows, c, [_c(o) for o in order] if order else None, start)
     out = []
     for f in model.schema.fields:
         if f.name in rows.columns:
@@ -152,6 +158,11 @@ def delete(target: DataFrame, source: DataFrame, plan: WritePlan) -> ChangeSet:
     return ChangeSet(plan, target.join(s, _on(plan), "left_anti"), changes, matched=n)
 
 
+def scoped(target: DataFrame, model: TableModel, scope: Scope | None) -> DataFrame:
+    """`target` with t__in: whether a synchronize may remove the row."""
+    return scope.within(target, model, "t__in") if scope is not None else target.withColumn("t__in", F.lit(True))
+
+
 def merge(target: DataFrame, source: DataFrame, plan: WritePlan, scope: Scope | None = None, small: bool = False) -> ChangeSet:
     """Matched rows are updated, source rows without a match inserted; in a synchronize, rows in scope without a
     source row are deleted.  Rows whose scope is unknown stay.  With nothing to update, matched rows stay.
@@ -160,8 +171,7 @@ def merge(target: DataFrame, source: DataFrame, plan: WritePlan, scope: Scope |
     without a match, in which the planner may send the source to the target's scan and shuffle nothing."""
     model, s = plan.model, staged(source, plan)
     require_single(s, plan)
-    inside = F.coalesce(scope.predicate(model), F.lit(False)) if scope is not None else F.lit(True)
-    t = target.select(*[_c(c) for c in model.columns], F.lit(True).alias("t__hit"), inside.alias("t__in"))
+    t = scoped(target.select(*[_c(c) for c in model.columns], F.lit(True).alias("t__hit")), model, scope)
     gone = F.when(F.col("t__in"), F.lit(DELETE)) if plan.op is Op.SYNCHRONIZE else F.lit(None).cast("string")
     action = F.when(F.col("t__hit") & F.col("s__hit"), F.lit(UPDATE if plan.update else None).cast("string")).when(F.col("s__hit"), F.lit(INSERT)).otherwise(gone)
     sequences = [c for c, how in model.generated.items() if how == "sequence" and c not in plan.match and c not in plan.write]
@@ -208,13 +218,7 @@ def removed_rows(changes: DataFrame) -> DataFrame:
     return changes.where(F.col("op") == DELETE).select("old.*")
 
 
-def validate(rows: DataFrame, model: TableModel) -> None:
-    """Required columns and checks of new and changed rows; a check that is unknown holds.  One pass."""
+def broken(model: TableModel) -> dict[str, Column]:
+    """What a new or changed row may not be: required columns and checks; a check that is unknown holds."""
     tests = {f"{c} is null": F.col(f"`{c}`").isNull() for c in sorted(model.required | set(model.key))}
-    tests |= {f"check {n}": ~F.coalesce(F.expr(e), F.lit(True)) for n, e in model.checks.items()}
-    if not tests:
-        return
-    counts = rows.agg(*[F.count(F.when(t, 1)).alias(str(i)) for i, t in enumerate(tests.values())]).first()
-    broken = [f"{name} ({counts[i]} rows)" for i, name in enumerate(tests) if counts[i]]
-    if broken:
-        raise ConstraintViolation(f"{model.name}: {'; '.join(broken)}")
+    return tests | {f"check {n}": ~F.coalesce(F.expr(e), F.lit(True)) for n, e in model.checks.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from enum import Enum
@@ -193,15 +194,21 @@ class Scope:
             raise WriteNotSupported("an SQL scope stands alone")
         return Scope(self.terms + other.terms)
 
+    def within(self, df: DataFrame, model: TableModel, name: str) -> DataFrame:
+        """`df` with a flag that says which rows are in scope; unknown counts as outside."""
+        if self.text is None:
+            return df.withColumn(name, F.coalesce(self.predicate(model), F.lit(False)))
+        placed = set(_MARKER.findall(_QUOTED.sub(" ", self.text)))
+        lost = sorted({n for n, _ in self.args} ^ placed)
+        if lost:
+            raise WriteNotSupported(f"the scope and its values don't agree on {', '.join(lost)}")
+        text = self.text.replace("{", "{{").replace("}", "}}")  # the braces of a text are its own
+        return df.sparkSession.sql(f"SELECT *, coalesce(({text}\n), false) AS `{name}` FROM {{scoped__}} AS t", args=dict(self.args), scoped__=df)
+
     def predicate(self, model: TableModel) -> Column:
-        """Over the table's plain columns.  Unknown counts as outside: callers coalesce to false."""
+        """A conjunction over the table's plain columns.  Unknown counts as outside: callers coalesce to false."""
         if self.text is not None:
-            text = self.text
-            for name, value in self.args:
-                if f":{name}" not in text:
-                    raise WriteNotSupported(f"the scope has no place for {name}")
-                text = text.replace(f":{name}", _literal(value))
-            return F.expr(text.replace("t.", ""))
+            raise WriteNotSupported("an SQL scope has no predicate of its own")
         parts = []
         for column, op, value in self.terms:
             kind = model.type_of(column)
@@ -216,11 +223,6 @@ class Scope:
         return all_of(*parts)
 
 
-def _literal(value: Any) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, (int, float)):
-        return repr(value)
-    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+#: Texts, quoted names and comments, in which nothing is a marker.
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|::""", re.S)
+_MARKER = re.compile(r":([A-Za-z_][A-Za-z0-9_]*)")

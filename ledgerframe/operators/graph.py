@@ -57,9 +57,9 @@ def with_depth(rows: DataFrame, key: str, parent: str, column: str = "depth", mo
 
 def with_parent_keys(children: DataFrame, parents: DataFrame, temp: str, parent_temp: str, parent_key: str, column: str) -> DataFrame:
     """Children whose `column` is the parent's assigned key, found by a temporary number that both carry."""
-    keys = parents.select(F.col(parent_temp).alias("p__"), F.col(parent_key).alias("v__"))
+    keys = parents.select(F.col(f"`{parent_temp}`").alias("p__"), F.col(f"`{parent_key}`").alias("v__"))
     kind = children.schema[column].dataType if column in children.columns else parents.schema[parent_key].dataType
-    joined = children.join(keys, F.col(temp) == F.col("p__"), "left")
+    joined = children.join(keys, F.col(f"`{temp}`") == F.col("p__"), "left")
     if column in children.columns:
         return joined.withColumn(column, F.coalesce(F.col("v__"), F.col(f"`{column}`")).cast(kind)).drop("p__", "v__")
     return joined.withColumnRenamed("v__", column).drop("p__")
@@ -76,11 +76,59 @@ class Branch:
     branches: tuple["Branch", ...] = ()
 
 
-def unfold(parents: DataFrame, model: TableModel, branches: tuple[Branch, ...]) -> dict[str, DataFrame]:
-    """Rows per table of nested parents, in writing order; the parents' keys are theirs already."""
-    found: dict[str, DataFrame] = {model.name: parents.drop(*[b.column for b in branches])}
+@dataclass(frozen=True)
+class SelfReference:
+    """Rows of one table that refer to each other: their own numbers, the parent's number, and the column that takes
+    the parent's assigned key."""
+
+    number: str
+    parent: str
+    column: str
+
+
+@dataclass(frozen=True)
+class Link:
+    """Where children get their key: the parent's table, its key column, the child's column, and the children's
+    column that numbers the parent."""
+
+    parent: str
+    parent_key: str
+    child_key: str
+    number: str
+
+
+@dataclass(frozen=True)
+class Level:
+    """Rows of one table in a graph, and what links them to rows above.  Every row has a number, PLACE."""
+
+    rows: DataFrame
+    links: tuple[Link, ...] = ()
+
+    def with_rows(self, rows: DataFrame) -> "Level":
+        return Level(rows, self.links)
+
+
+PLACE = "place__"
+
+
+def unfold(parents: DataFrame, model: TableModel, branches: tuple[Branch, ...], at: str = "") -> dict[str, Level]:
+    """Rows by table of nested parents; rows of one table from several places are put together."""
+    if PLACE not in parents.columns:
+        parents = materialized(parents.withColumn(PLACE, F.concat(F.lit(f"{at}:"), F.monotonically_increasing_id())), "graph")
+    found = {model.name: Level(parents.drop(*[b.column for b in branches]))}
     for b in branches:
-        child = parents.select(F.col(b.parent_key).alias("p__"), F.explode(b.column).alias("c__")).select("p__", "c__.*").withColumn(b.child_key, F.col("p__")).drop("p__")
-        for name, rows in unfold(child, b.model, b.branches).items():
-            found[name] = found[name].unionByName(rows) if name in found else rows
+        here = f"{at}/{b.column}"
+        number = f"of{here}"
+        child = parents.select(F.col(PLACE).alias(number), F.explode(b.column).alias("c__")).select(F.col(f"`{number}`"), "c__.*")
+        below = unfold(child, b.model, b.branches, here)
+        below[b.model.name] = Level(below[b.model.name].rows, (*below[b.model.name].links, Link(model.name, b.parent_key, b.child_key, number)))
+        for name, level in below.items():
+            if name in found:
+                level = Level(found[name].rows.unionByName(level.rows, allowMissingColumns=True), found[name].links + level.links)
+            found[name] = level
     return found
+
+
+def keyed(children: DataFrame, parents: DataFrame, link: Link) -> DataFrame:
+    """Children with their parents' keys."""
+    return with_parent_keys(children, parents, link.number, PLACE, link.parent_key, link.child_key).drop(link.number)

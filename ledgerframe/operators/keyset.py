@@ -154,16 +154,38 @@ class KeysetDefinition:
         return [codec.decode(v, self.model.type_of(p)) for v, p in zip(cursor.values, self.paths)]
 
     def stored(self, values: list[Any]) -> list[Any]:
-        """Model values as they are stored."""
+        """Model values as they are stored.  A value that doesn't come back from the store as itself is refused."""
         out = []
         for p, v in zip(self.paths, values):
             c = self.model.converters.get(p)
-            v = c.to_store(v) if c is not None else v
+            if c is not None:
+                kept = c.to_store(v)
+                if kept is not None and c.from_store(kept) != v:
+                    raise QueryNotSupported(f"{p}: {v!r} doesn't come back from the store")
+                v = kept
             if v is None:
                 raise QueryNotSupported(f"{p} would be null")
             out.append(v)
         return out
 
+    def cursor_at(self, values: list[Any], backward: bool = False) -> KeysetCursor:
+        """The cursor of a boundary given in model values."""
+        if len(values) != len(self.terms):
+            raise QueryNotSupported("a boundary has a value for each column of the ordering")
+        texts = tuple(codec.encode(v, self.model.type_of(p)) for p, v in zip(self.paths, self.stored(values)))
+        return KeysetCursor(self.fingerprint, BACKWARD if backward else FORWARD, texts)
+
+    def modelled(self, row: Row) -> dict[str, Any]:
+        """A row's ordering columns as model values."""
+        out = {}
+        for p in self.paths:
+            v = row
+            for part in p.split("."):
+                v = v[part]
+            c = self.model.converters.get(p)
+            out[p] = c.from_store(v) if c is not None and v is not None else v
+        return out
+
 
 class KeysetBuilder:
     def __init__(self, model: TableModel):

@@ -79,20 +79,22 @@ class OnUnsupported(Enum):
 
 @dataclass(frozen=True)
 class WriteOptions:
-    """Of a session: `threshold` rows make a change batch worth a set-based write; up to `broadcast_rows`
-    source rows a merge is planned for a source that travels to the target."""
+    """Of a session: `threshold` rows make a change batch worth a set-based write; a table of more than
+    `narrow_files` files is searched by its match columns first; `declines` may give a reason why a write takes the
+    plain path over the whole table, which `on_unsupported` allows or refuses."""
 
     threshold: int = 100
     max_batch: int = 50_000
-    broadcast_rows: int = 100_000
+    narrow_files: int = 64
     on_unsupported: OnUnsupported = OnUnsupported.FALL_BACK
+    declines: Callable[[Any], str | None] | None = None
     validate_constraints: bool = True
     timeout_seconds: float | None = None
 
 
 @dataclass(frozen=True)
 class Call:
-    """Of one bulk call."""
+    """Of one bulk call.  Merge counts are exact whatever `exact_counts` says: both ways cost the same here."""
 
     match_on: tuple[str, ...] = ()
     include: tuple[str, ...] = ()
@@ -129,6 +131,14 @@ class OnSinkFailure(Enum):
     IGNORE = "ignore"
 
 
+class TrailLayout(Enum):
+    """How the trail's files are sorted, which is what its questions prune by."""
+
+    BY_ROW = "entity, then time"
+    BY_TENANT = "tenant, then time"
+    BY_TIME = "time"
+
+
 class Naming(Enum):
     PROPERTY = "property"
     COLUMN = "column"
@@ -159,6 +169,7 @@ class AuditOptions:
     ids: Callable[..., Any] | None = None
     clock: Callable[[], dt.datetime] = utc_now
     external: bool = False
+    layout: TrailLayout = TrailLayout.BY_ROW
     json_columns: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):

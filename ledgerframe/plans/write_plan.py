@@ -47,6 +47,8 @@ def plan_write(model: TableModel, op: Op, source: DataFrame, call: Call = Call()
         raise WriteNotSupported("only a merge or synchronize has insert-only columns")
     if call.match_on and op is Op.INSERT:
         raise WriteNotSupported("an insert matches nothing")
+    if call.include_graph and op is not Op.INSERT:
+        raise WriteNotSupported("only an insert brings nested rows along")
     if call.include_graph and (call.include or call.exclude or call.scope is not None or call.insert_only or call.match_on):
         raise WriteNotSupported("a graph is inserted with all its columns")
     nested = [c for c in call.match_on if "." in c]

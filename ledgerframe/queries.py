@@ -18,9 +18,11 @@ from .audit.entry import entries
 from .audit.scope import Actor, AuditScope
 from .audit.spec import AuditSpec, plan_audit
 from .catalogue import models, read
+from .functions.ordinals import with_dense_ordinal
 from .functions.payload import decimal_text, key_text
 from .operators import changes as ch
 from .operators import filtering as fl
+from .model import TableModel
 from .operators import graph, keyset, paging, sorting
 from .options import AuditOptions, Call, Checks, CountStrategy, Numbering, Op, QueryOptions, WriteOptions
 from .plans.advisor import Advisor
@@ -86,27 +88,46 @@ def filter_where_in_semi_join(spark, d):
     return fl.where_in_rows(read(spark, d, "lineitem"), "l_partkey", read(spark, d, "part").where("p_size < 10"), "p_partkey")
 
 
-LOW, HIGH = dt.datetime(1994, 1, 1), dt.datetime(1995, 1, 1)
+#: Bounds on exact stored dates: the first and last of a few orders, found at run time.
+_BOUNDS = "(SELECT min(o_orderdate) AS low, max(o_orderdate) AS high FROM orders WHERE o_orderkey BETWEEN 11 AND 14)"
 
 
-@query("SELECT * FROM orders WHERE o_orderdate >= '1994-01-01' AND o_orderdate < '1995-01-01'")
+def _bounds(orders: DataFrame) -> tuple[dt.datetime, dt.datetime]:
+    r = orders.where("o_orderkey BETWEEN 11 AND 14").agg(F.min("o_orderdate").alias("low"), F.max("o_orderdate").alias("high")).first()
+    return r.low, r.high
+
+
+@query(f"SELECT orders.* FROM orders, {_BOUNDS} WHERE o_orderdate >= low AND o_orderdate < high")
 def filter_where_between(spark, d):
-    return fl.where_between(read(spark, d, "orders"), "o_orderdate", LOW, HIGH)
+    orders = read(spark, d, "orders")
+    return fl.where_between(orders, "o_orderdate", *_bounds(orders))
 
 
-@query("SELECT * FROM orders WHERE o_orderdate < '1995-01-01'")
+@query(f"SELECT orders.* FROM orders, {_BOUNDS} WHERE o_orderdate < high")
 def filter_where_between_open_lower(spark, d):
-    return fl.where_between(read(spark, d, "orders"), "o_orderdate", None, HIGH)
+    orders = read(spark, d, "orders")
+    return fl.where_between(orders, "o_orderdate", None, _bounds(orders)[1])
 
 
-@query("SELECT * FROM orders WHERE o_orderdate >= '1994-01-01'")
+@query(f"SELECT orders.* FROM orders, {_BOUNDS} WHERE o_orderdate >= low")
 def filter_where_between_open_upper(spark, d):
-    return fl.where_between(read(spark, d, "orders"), "o_orderdate", LOW, None)
+    orders = read(spark, d, "orders")
+    return fl.where_between(orders, "o_orderdate", _bounds(orders)[0], None)
 
 
-@query("SELECT * FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1994-01-01'")
+@query(f"SELECT orders.* FROM orders, {_BOUNDS} WHERE o_orderdate >= high AND o_orderdate < low")
 def filter_where_between_inverted(spark, d):
-    return fl.where_between(read(spark, d, "orders"), "o_orderdate", HIGH, LOW)
+    orders = read(spark, d, "orders")
+    return fl.where_between(orders, "o_orderdate", *_bounds(orders)[::-1])
+
+
+@query(f"SELECT count(*) FILTER (o_orderdate = low AND o_orderdate < high) AS at_low, 0::BIGINT AS at_high, count(*) FILTER (o_orderdate >= low AND o_orderdate < high) AS inside FROM orders, {_BOUNDS}")
+def filter_where_between_ends(spark, d):
+    """Rows on the bounds themselves: the lower is in, the upper isn't."""
+    orders = read(spark, d, "orders")
+    low, high = _bounds(orders)
+    at = lambda v: F.count(F.when(F.col("o_orderdate") == F.lit(v).cast("timestamp_ntz"), 1))
+    return fl.where_between(orders, "o_orderdate", low, high).agg(at(low).alias("at_low"), at(high).alias("at_high"), F.count(F.lit(1)).alias("inside"))
 
 
 @query("SELECT * FROM customer WHERE (c_acctbal > 5000 AND c_mktsegment = 'BUILDING') OR NOT (c_nationkey < 20)")
@@ -159,21 +180,22 @@ def _sort_spec() -> sorting.SortSpec:
 
 
 def _sorted(spark, d, request: str) -> DataFrame:
+    """Every row with its place in the requested order; places come from counts of sorted ranges."""
     terms = _sort_spec().resolve(request)
-    return numbered(sorting.apply_order(read(spark, d, "orders"), terms).limit(100), terms).select("rn", "o_orderkey")
+    return with_dense_ordinal(read(spark, d, "orders"), "rn", [t.column() for t in terms], 1).select("rn", "o_orderkey")
 
 
-@query("SELECT row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS rn, o_orderkey FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 100")
+@query("SELECT row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS rn, o_orderkey FROM orders")
 def sort_requested(spark, d):
     return _sorted(spark, d, "Status:ascending, -total")
 
 
-@query("SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rn, o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+@query("SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rn, o_orderkey FROM orders")
 def sort_default(spark, d):
     return _sorted(spark, d, " ")
 
 
-@query("SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderkey) AS rn, o_orderkey FROM orders ORDER BY o_orderstatus, o_orderkey LIMIT 100")
+@query("SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderkey) AS rn, o_orderkey FROM orders")
 def sort_tiebreaker(spark, d):
     return _sorted(spark, d, "+status")
 
@@ -214,6 +236,22 @@ def offset_page_past_end(spark, d):
     return _offset_page(spark, d, paging.PageRequest.of(1_000_000, 100), QueryOptions())
 
 
+def _deep(spark, d, terms: list[sorting.SortTerm]) -> DataFrame:
+    orders = read(spark, d, "orders")
+    total = orders.count()
+    return numbered(paging.deep_slice(orders, terms, total * 9 // 10, 100), terms)
+
+
+@query("SELECT n - t AS rn, o_orderkey, o_orderdate FROM (" + _ORDERED + "), (SELECT count(*) * 9 // 10 AS t FROM orders) WHERE n > t AND n <= t + 100")
+def offset_page_deep(spark, d):
+    return _deep(spark, d, _BY_DATE).select("rn", "o_orderkey", "o_orderdate")
+
+
+@query("SELECT n - t AS rn, o_orderkey FROM (SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS n, o_orderkey FROM orders), (SELECT count(*) * 9 // 10 AS t FROM orders) WHERE n > t AND n <= t + 100")
+def offset_page_deep_ascending(spark, d):
+    return _deep(spark, d, [sorting.SortTerm("o_totalprice"), sorting.SortTerm("o_orderkey")]).select("rn", "o_orderkey")
+
+
 def _page_facts(spark, d, options: QueryOptions, page: int) -> DataFrame:
     ordered = sorting.apply_order(read(spark, d, "orders"), _BY_DATE)
     p = paging.to_page(ordered, paging.PageRequest.of(page, 50), options)
@@ -295,6 +333,19 @@ def keyset_full_walk(spark, d):
     return spark.createDataFrame(rows, "page bigint, rn bigint, s_suppkey bigint")
 
 
+#: One column of each type that a cursor carries, as an expression over orders.
+_TYPED = {
+    "int": ("int(o_custkey)", T.IntegerType()), "decimal": ("cast(o_totalprice AS decimal(18, 2))", T.DecimalType(18, 2)), "string": ("o_orderstatus", T.StringType()),
+    "date": ("date(o_orderdate)", T.DateType()), "boolean": ("o_orderstatus = 'F'", T.BooleanType()), "binary": ("binary(concat(o_orderstatus, 'xy'))", T.BinaryType()),
+}
+
+
+def _typed_keys() -> dict[str, keyset.KeysetDefinition]:
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), *[T.StructField(f"{k}_", t) for k, (_, t) in _TYPED.items()]])
+    model = TableModel("typed", schema, key=("o_orderkey",), required=frozenset(f"{k}_" for k in _TYPED))
+    return {k: keyset.KeysetBuilder(model).ascending(f"{k}_").ascending("o_orderkey").build() for k in _TYPED}
+
+
 @query(f"""SELECT o_orderkey, translate(rtrim(to_base64(encode('1|{order_keys().fingerprint}|f|' || strftime(o_orderdate, '%Y-%m-%dT%H%%3A%M%%3A%S.%f') || '|' || o_orderkey)), '='), '+/', '-_') AS token
 FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20""")
 def keyset_tokens(spark, d):
@@ -303,6 +354,18 @@ def keyset_tokens(spark, d):
     return spark.createDataFrame([(r.o_orderkey, keys.cursor(r).token()) for r in page.items], "o_orderkey bigint, token string")
 
 
+@query("""SELECT o_orderkey, kind, translate(rtrim(to_base64(encode('1|' || print || '|f|' || value || '|' || o_orderkey)), '='), '+/', '-_') AS token FROM (
+SELECT o_orderkey, unnest([{'kind': 'int', 'value': (o_custkey::INT)::VARCHAR}, {'kind': 'decimal', 'value': (o_totalprice::DECIMAL(18, 2))::VARCHAR}, {'kind': 'string', 'value': o_orderstatus}, {'kind': 'date', 'value': (o_orderdate::DATE)::VARCHAR},
+{'kind': 'boolean', 'value': CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END}, {'kind': 'binary', 'value': to_base64(encode(o_orderstatus || 'xy'))}], recursive := true), FROM orders WHERE o_orderkey < 20) JOIN (VALUES PRINTS) p(kind2, print) ON kind = kind2""".replace("PRINTS", ", ".join(f"('{k}', '{x.fingerprint}')" for k, x in _typed_keys().items())))
+def keyset_token_types(spark, d):
+    rows = read(spark, d, "orders").where("o_orderkey < 20").selectExpr("o_orderkey", *[f"{e} AS {k}_" for k, (e, _) in _TYPED.items()]).collect()
+    told = [(r.o_orderkey, k, keys.cursor(r).token()) for r in rows for k, keys in _typed_keys().items()]
+    for k, keys in _typed_keys().items():  # each reads back as what it was made of
+        for r in rows:
+            assert keys.boundary(keyset.KeysetCursor.parse(keys.cursor(r).token())) == [r[f"{k}_"], r.o_orderkey]
+    return spark.createDataFrame(told, "o_orderkey bigint, kind string, token string")
+
+
 @query("SELECT (row_number() OVER (ORDER BY s_suppkey) - 1) // 40 AS batch, s_suppkey FROM supplier")
 def stream_batches_by_key(spark, d):
     keys = keyset.KeysetBuilder(models()["supplier"]).ascending("s_suppkey").build()
@@ -465,9 +528,11 @@ def bulk_synchronize_scoped(spark, d):
     return _synchronized(spark, d, fl.Scope.where("s_nationkey", ">=", 10) & fl.Scope.where("s_nationkey", "<", 15)).next
 
 
-@query(f"WITH {_SYNC_SOURCE} SELECT * FROM s UNION ALL SELECT * FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM s) AND NOT (s_nationkey < 12)")
+@query(f"WITH {_SYNC_SOURCE} SELECT * FROM s UNION ALL SELECT * FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM s) AND NOT (s_nationkey < 12 AND s_name <> 't.s_name '':a'' :most')")
 def bulk_synchronize_sql_scope(spark, d):
-    return _synchronized(spark, d, fl.Scope.sql("t.s_nationkey < :most", most=12)).next
+    """Values are bound: one holds what looks like the target's alias, a marker and quotes, one marker begins another."""
+    scope = fl.Scope.sql("t.s_nationkey < :a AND t.s_name <> :ab AND t.s_name <> ':a'", a=12, ab="t.s_name ':a' :most")
+    return _synchronized(spark, d, scope).next
 
 
 @query(f"WITH {_SYNC_SOURCE} SELECT * FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM s)")

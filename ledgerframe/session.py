@@ -18,17 +18,20 @@ from pyspark.sql import types as T
 from . import tracking as tracks
 from .audit.entry import ENTRY, entries
 from .audit.spec import AuditSpec, audits, plan_audit
-from .errors import AuditNotSupported, ConstraintViolation, NotConfigured, WriteFailed, WriteNotSupported
+from .errors import AuditNotSupported, ConcurrencyConflict, ConstraintViolation, NotConfigured, WriteFailed, WriteNotSupported
 from .events import EventBus
-from .functions.ordinals import materialized, staging
+from .functions.ordinals import materialized, staging, with_dense_ordinal
 from .model import TableModel
 from .observers import Needs, Observation, WriteObserver
 from .operators import changes as ch
+from .operators import constraints as cn
 from .operators import filtering, keyset, paging
-from .operators.graph import Branch, table_order, unfold
-from .options import Atomicity, AuditOptions, Call, OnSinkFailure, Op, QueryOptions, WriteOptions
+from .operators import marking as mk
+from .operators.graph import Branch, SelfReference, keyed, table_order, unfold, with_depth, with_parent_keys
+from .options import Atomicity, AuditOptions, Call, OnSinkFailure, OnUnsupported, Op, QueryOptions, TrailLayout, WriteOptions
 from .plans.advisor import Advisor
-from .plans.write_plan import WritePlan, plan_write
+from .plans.partition import plan_partitions
+from .plans.write_plan import WritePlan, check_model, plan_write
 from .sources.store import Store, Transaction
 
 _SOURCE = {Op.INSERT: "Bulk.Insert", Op.UPDATE: "Bulk.Update", Op.DELETE: "Bulk.Delete", Op.MERGE: "Bulk.Merge", Op.SYNCHRONIZE: "Bulk.Synchronize"}
@@ -51,6 +54,7 @@ class Session:
     def __init__(
         self, spark: SparkSession, path: str, models: list[TableModel], query: QueryOptions | None = None, write: WriteOptions | None = None,
         audit: AuditOptions | None = None, audit_specs: dict[str, AuditSpec] | None = None, observers: list[WriteObserver] = (), sink: Callable | None = None,
+        audit_path: str | None = None,
     ):
         self.spark, self.store, self.events = spark, Store(spark, path), EventBus()
         self.models = {m.name: m for m in models}
@@ -67,6 +71,10 @@ class Session:
             self.audit_plans = {n: plan_audit(m, self.audit_specs.get(n), audit) for n, m in self.models.items() if audits(m, self.audit_specs.get(n), audit)}
             if write is None and sink is None:
                 raise NotConfigured("an audit trail is written by bulk writes; give write options")
+        external = audit is not None and audit.external
+        if external != (audit_path is not None):
+            raise NotConfigured("entries go to another store if the audit options say so and audit_path names it")
+        self.audit_store = Store(spark, audit_path) if external else None
 
     # reads
 
@@ -111,6 +119,8 @@ class Session:
     def audit_trail(self) -> DataFrame:
         if self.audit_options is None:
             raise NotConfigured("the session has no audit options")
+        if self.audit_store is not None:
+            return self.audit_store.read(self.audit_store.manifest(), self.audit_options.table, self._entry_schema())
         return self.store.read(self._manifest(), self.audit_options.table, self._entry_schema())
 
     def _entry_schema(self):
@@ -122,8 +132,16 @@ class Session:
     # transactions
 
     @contextmanager
-    def transaction(self) -> Iterator[Transaction]:
-        """Writes inside become visible at its end, or not at all.  Nested ones are savepoints."""
+    def transaction(self, savepoint: bool = True) -> Iterator[Transaction]:
+        """Writes inside become visible at its end, or not at all.  Nested ones are savepoints; without one, a nested
+        write that fails leaves the whole transaction unable to commit."""
+        if self._tx is not None and not savepoint:
+            try:
+                yield self._tx
+            except BaseException:
+                self._tx.broken = True
+                raise
+            return
         if self._tx is not None:
             mark = self._tx.savepoint()
             try:
@@ -147,14 +165,26 @@ class Session:
     def load(self, name: str, df: DataFrame) -> None:
         """The table's first rows, as they are."""
         with self.transaction() as tx:
-            tx.now = tx.now.with_files(name, self.store.write(name, df.select(*[F.col(f"`{c}`").cast(f.dataType).alias(c) for c, f in zip(self.model(name).columns, self.model(name).schema)]), self._sort(name)))
+            model = self.model(name)
+            tx.relied.add(name)
+            tx.now = tx.now.with_files(name, self.store.write(name, df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in model.schema]), self._sort(name)))
+            for c in model.generated:
+                tx.now = tx.now.with_next(f"{name}.{c}", None)
 
     def _sort(self, name: str) -> list[str]:
         m = self.model(name)
         return list(m.layout[0] if m.layout else m.key)
 
     def insert(self, name: str, source: DataFrame, call: Call = Call(), **settings) -> ch.BulkResult:
-        return self.bulk(Op.INSERT, name, source, _with(call, settings))
+        call = _with(call, settings)
+        if call.include_graph:
+            if not self.model(name).nested:
+                raise WriteNotSupported(f"{name} has no nested rows to bring along")
+            if not isinstance(source, DataFrame):
+                raise WriteNotSupported("nested rows come as a DataFrame with array columns")
+            plan_write(self.model(name), Op.INSERT, source.drop(*[b.column for b in self.model(name).nested]), call)
+            return self.insert_graph(name, source, self.model(name).nested, _with(call, {"include_graph": False}))
+        return self.bulk(Op.INSERT, name, source, call)
 
     def update(self, name: str, source: DataFrame, call: Call = Call(), **settings) -> ch.BulkResult:
         return self.bulk(Op.UPDATE, name, source, _with(call, settings))
@@ -168,15 +198,43 @@ class Session:
     def synchronize(self, name: str, source: DataFrame, call: Call = Call(), **settings) -> ch.BulkResult:
         return self.bulk(Op.SYNCHRONIZE, name, source, _with(call, settings))
 
-    def insert_graph(self, name: str, parents: DataFrame, branches: tuple[Branch, ...], call: Call = Call()) -> ch.BulkResult:
-        """Parents and their nested rows, referenced tables first, in one transaction."""
-        found = unfold(parents, self.model(name), branches)
-        total = ch.BulkResult()
-        with self.transaction():
-            for m in table_order([self.model(n) for n in found]):
-                r = self.insert(m.name, found[m.name], call)
-                total = ch.BulkResult(total.inserted + r.inserted)
-        return total
+    def insert_graph(self, name: str, parents: DataFrame, branches: tuple[Branch, ...], call: Call = Call(), own: SelfReference | None = None) -> ch.BulkResult:
+        """Parents and their nested rows, referenced tables first, in one transaction.
+
+        Keys that the store assigns are drawn before the children are written and handed down to them.  `own` says
+        how rows of `name` refer to each other by numbers of their own; rows higher up get lower keys."""
+        if self.write_options is None:
+            raise NotConfigured("the session has no write options")
+        total = 0
+        with staging(self.spark), self.transaction(call.savepoint) as tx, self._deadline(call.timeout_seconds or self.write_options.timeout_seconds):
+            found = unfold(materialized(parents, "graph"), self.model(name), branches)
+            order = [m.name for m in table_order([self.model(n) for n in found])]
+            for n in order:
+                model, rows, links = self.model(n), found[n].rows, found[n].links
+                for link in links:  # parents were written before
+                    rows = keyed(rows, found[link.parent].rows, link)
+                numbers = [c for c in model.key if model.generated.get(c) == "sequence"]
+                if numbers:
+                    starts = self._starts(tx, model, numbers)
+                    rows = self._numbered(rows, numbers[0], starts[numbers[0]], own if n == name else None)
+                found[n] = found[n].with_rows(rows := materialized(rows, "graph"))
+                given = rows.select(*[F.col(f"`{c}`") for c in model.columns if c in rows.columns])
+                plan = plan_write(model, Op.INSERT, given, call)
+                full = ch.complete(given, None, WritePlan(model, Op.INSERT, (), tuple(given.columns), (), plan.generated), None, self._starts(tx, model, ch.assigned(plan, given.columns)))
+                tx.relied.add(n)
+                total += self._insert_rows(tx, plan, full, call, complete=True).inserted
+                if numbers:
+                    tx.now = tx.now.with_next(f"{n}.{numbers[0]}", starts[numbers[0]] + rows.count())
+        return ch.BulkResult(total)
+
+    def _numbered(self, rows: DataFrame, key: str, start: int, own: SelfReference | None) -> DataFrame:
+        """Rows with assigned keys, parents before their children, and their own references by those keys."""
+        rows = rows.drop(key)
+        if own is None:
+            return with_dense_ordinal(rows, key, None, start)
+        rows = with_dense_ordinal(with_depth(rows, own.number, own.parent, "depth__"), key, [F.col("depth__"), F.col(f"`{own.number}`")], start)
+        rows = materialized(rows.drop("depth__"), "graph")
+        return with_parent_keys(rows, rows.select(F.col(f"`{own.number}`").alias("number__"), F.col(f"`{key}`").alias("key__")), own.parent, "number__", "key__", own.column)
 
     def bulk(self, op: Op, name: str, source: DataFrame | Iterable, call: Call) -> ch.BulkResult:
         """One bulk write of a DataFrame, or of rows in memory (dictionaries or Rows)."""
@@ -209,17 +267,19 @@ class Session:
     def _bulk(self, op: Op, name: str, source: DataFrame, call: Call) -> ch.BulkResult:
         model = self.model(name)
         plan = plan_write(model, op, source, call)
-        source = materialized(source.select(*[F.col(f"`{c}`") for c in model.columns if c in source.columns]))
+        source = source.select(*[F.col(f"`{c}`") for c in model.columns if c in source.columns])
+        if op is not Op.INSERT or call.batch_size or call.on_progress is not None:  # read more than once
+            source = materialized(source.withColumn(mk.SRC, F.monotonically_increasing_id()))
         if op is Op.SYNCHRONIZE:
             ch.check_synchronize(model, source, call.scope, call.allow_full_table_delete)
         batches = [source]
         if call.batch_size and op is not Op.SYNCHRONIZE:
             total = source.count()
             lots = max(1, -(-total // call.batch_size))
-            hashed = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (plan.match or source.columns)]), F.lit(lots))
+            hashed = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (plan.match or plan.write)]), F.lit(lots))
             batches = [source.where(hashed == i) for i in range(lots)]
         result, done, total = ch.BulkResult(), 0, None
-        with self.transaction() as tx, self._deadline(call.timeout_seconds or self.write_options.timeout_seconds):
+        with self.transaction(call.savepoint) as tx, self._deadline(call.timeout_seconds or self.write_options.timeout_seconds):
             for batch in batches:
                 r = self._write(tx, plan, batch, call)
                 result = ch.BulkResult(result.inserted + r.inserted, result.updated + r.updated, result.deleted + r.deleted)
@@ -257,111 +317,205 @@ class Session:
             timer.cancel()
             sc.setLocalProperty("spark.jobGroup.id", None)
 
-    def _touched(self, tx: Transaction, plan: WritePlan, source: DataFrame, call: Call) -> tuple[list[str], list[str]]:
-        """Files that may hold a row to change, and the others.  Inserts touch none."""
-        files = list(tx.now.files.get(plan.model.name, ()))
-        if plan.op is Op.INSERT:
-            return [], files
-        table = self.store.read(tx.now, plan.model.name, plan.model.schema)
-        s = ch.staged(source, plan).select(*[f"s__{c}" for c in plan.match])
-        at = F.col("_metadata.file_path").alias("file__")
-        if not files:
-            return [], []
-        keyed = table.select(*[F.col(f"`{c}`") for c in plan.match], at)
-        on = reduce(lambda a, b: a & b, [F.col(f"`{c}`") == F.col(f"s__{c}") for c in plan.match])
-        hit = keyed.join(s, on, "left_semi").select("file__")
-        if plan.op is Op.SYNCHRONIZE:
-            inside = F.coalesce(call.scope.predicate(plan.model), F.lit(False)) if call.scope is not None else F.lit(True)
-            gone = table.where(inside).select(*[F.col(f"`{c}`") for c in plan.match], at).join(s, on, "left_anti").select("file__")
-            hit = hit.unionAll(gone)
-        named = {_plain(r.file__) for r in hit.distinct().collect()}  # no more than the table has files
-        return [f for f in files if _plain(f) in named], [f for f in files if _plain(f) not in named]
+    def _declined(self, plan: WritePlan, rows: DataFrame) -> bool:
+        """Whether the plain path takes the write, and the reason told; there is none for a merge."""
+        options = self.write_options
+        reason = options.declines(plan) if options.declines is not None else None
+        if reason is None:
+            return False
+        if options.on_unsupported is OnUnsupported.RAISE or plan.op in (Op.MERGE, Op.SYNCHRONIZE):
+            raise WriteNotSupported(f"{plan.op.value.lower()} of {plan.model.name}: {reason}")
+        self.events.publish("write", "ExplicitFallback", table=plan.model.name, op=plan.op.value, rows=rows.count(), reason=reason)
+        return True
+
+    def _narrowed(self, files: tuple[str, ...], plan: WritePlan, source: DataFrame) -> list[str]:
+        """Of many files, those that hold a match; found by the match columns alone, within the source's bounds."""
+        model, keys = plan.model, list(plan.match)
+        kinds = {c: model.schema[c].dataType for c in keys}
+        s = source.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(f"s__{c}") for c in keys])
+        ordered = [c for c in keys if isinstance(kinds[c], (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+        table = self.spark.read.schema(model.schema).parquet(*files)
+        if ordered:
+            ends = s.agg(*[f(f"s__{c}").alias(f"{n}{i}") for i, c in enumerate(ordered) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+            for i, c in enumerate(ordered):
+                if ends[f"lo{i}"] is not None:
+                    table = table.where(F.col(f"`{c}`").between(F.lit(ends[f"lo{i}"]).cast(kinds[c]), F.lit(ends[f"hi{i}"]).cast(kinds[c])))
+        on = reduce(lambda a, b: a & b, [F.col(f"`{c}`") == F.col(f"s__{c}") for c in keys])
+        at = table.select(*[F.col(f"`{c}`") for c in keys], F.col("_metadata.file_path").alias("file__"))
+        named = {_plain(r.file__) for r in at.join(s, on, "left_semi").select("file__").distinct().collect()}  # no more than the table has files
+        return [f for f in files if _plain(f) in named]
+
+    def _starts(self, tx: Transaction, model: TableModel, columns: list[str]) -> dict[str, int]:
+        """The next number of each sequence: from the log, or, after a plain load, from the whole table once."""
+        out = {}
+        for c in columns:
+            at = tx.now.next.get(f"{model.name}.{c}")
+            if at is None:
+                at = (self.store.read(tx.now, model.name, model.schema).agg(F.max(F.col(f"`{c}`")).alias("m")).first().m or 0) + 1
+            out[c] = int(at)
+        return out
+
+    def _advance(self, tx: Transaction, model: TableModel, starts: dict[str, int], highest: dict[str, int | None]) -> None:
+        for c, top in highest.items():
+            name = f"{model.name}.{c}"
+            known = starts.get(c, tx.now.next.get(name))
+            if known is not None:
+                tx.now = tx.now.with_next(name, max(known, (top or 0) + 1))
 
     def _write(self, tx: Transaction, plan: WritePlan, source: DataFrame, call: Call) -> ch.BulkResult:
         started, model = time.monotonic(), plan.model
-        touched, others = self._touched(tx, plan, source, call)
-        everything = self.store.read(tx.now, model.name, model.schema)
-        target = self.store.read(tx.now, model.name, model.schema, only=touched)
+        tx.relied.add(model.name)
+        declined = self._declined(plan, source)
         if plan.op is Op.INSERT:
-            change = ch.insert(everything, source, plan)
-            if any(how != "sequence" for how in model.generated.values()):  # an expression may give something else each time
-                rows = materialized(change.inserted_rows)
-                change = ch.ChangeSet(plan, rows, ch.inserted(rows, model), inserted_rows=rows)
-            else:
-                change.next = change.inserted_rows
-        elif plan.op is Op.UPDATE:
-            change = ch.update(target, source, plan)
-        elif plan.op is Op.DELETE:
-            change = ch.delete(target, source, plan)
+            result = self._insert_rows(tx, plan, source, call)
         else:
-            small = source.limit(self.write_options.broadcast_rows + 1).count() <= self.write_options.broadcast_rows
-            change = ch.merge(target, source, plan, call.scope, small)
-        if plan.op is not Op.INSERT:
-            change.changes = materialized(change.changes, "changes")
-        if self.write_options.validate_constraints:
-            self._validate(tx, plan, change)
-        written = self.store.write(model.name, change.next, self._sort(model.name)) if plan.op is Op.INSERT or touched or plan.op in (Op.MERGE, Op.SYNCHRONIZE) else []
-        tx.now = tx.now.with_files(model.name, [*others, *written])
-        self._observe(tx, plan, change, call)
-        result = change.result
-        self.events.publish("write", "PartitionExecuted", table=model.name, op=plan.op.value, rows=result.total, accelerated=True, seconds=time.monotonic() - started)
+            result = self._change_rows(tx, plan, source, call, plain=declined)
+        self.events.publish("write", "PartitionExecuted", table=model.name, op=plan.op.value, rows=result.total, accelerated=not declined, seconds=time.monotonic() - started)
         return result
 
-    def _validate(self, tx: Transaction, plan: WritePlan, change: ch.ChangeSet) -> None:
+    def _insert_rows(self, tx: Transaction, plan: WritePlan, source: DataFrame, call: Call, order: list[str] | None = None, complete: bool = False) -> ch.BulkResult:
+        """Rows go straight into their files, which nothing names yet; what is checked and told is read from these.
+        `complete` rows have every column already."""
         model = plan.model
-        fresh = change.changes.where(F.col("new").isNotNull()).select("new.*")
-        ch.validate(fresh, model)
-        if plan.op in (Op.INSERT, Op.MERGE, Op.SYNCHRONIZE):
-            added = change.changes.where(F.col("op") == "INSERT").select("new.*")
-            stored = self.store.read(tx.now, model.name, model.schema)
-            if plan.op is not Op.INSERT:
-                stored = change.changes.where(F.lit(False)).select("old.*") if plan.match == model.key else stored
-            for unique in model.total_orders:
-                if plan.op is not Op.INSERT and set(unique) == set(plan.match):
-                    continue
-                keys = [F.col(f"`{c}`") for c in unique]
-                mine = added.select(*keys).dropna()
-                twice = mine.groupBy(*unique).count().where("count > 1").limit(1).count() or stored.select(*keys).join(mine, list(unique), "left_semi").limit(1).count()
-                if twice:
-                    raise ConstraintViolation(f"{model.name}: {', '.join(unique)} must be unique")
-        for ref in model.references:
-            if ref.table in self.models and plan.op is not Op.DELETE:
-                parent = self.store.read(tx.now, ref.table, self.models[ref.table].schema)
-                if ref.table == model.name:
-                    parent = parent.unionByName(fresh)
-                wanted = fresh.dropna(subset=list(ref.columns)).select(*[F.col(f"`{c}`").alias(f"w__{i}") for i, c in enumerate(ref.columns)]).distinct()
-                on = reduce(lambda a, b: a & b, [F.col(f"`{r}`") == F.col(f"w__{i}") for i, r in enumerate(ref.references)])
-                there = parent.select(*[F.col(f"`{r}`") for r in ref.references]).join(wanted, on, "left_semi").distinct()
-                orphans = wanted.join(there, on, "left_anti").limit(1).count()
-                if orphans:
-                    raise ConstraintViolation(f"{model.name}: {', '.join(ref.columns)} refers to no row of {ref.table}")
-
-    def _observe(self, tx: Transaction, plan: WritePlan, change: ch.ChangeSet, call: Call) -> None:
+        stored = mk.located(self.store.read(tx.now, model.name, model.schema)) if tx.now.of(model.name) else None
+        rows, starts = source, {}
+        if not complete:
+            rows = source.select(*[F.col(f"`{c}`").cast(model.schema[c].dataType).alias(c) for c in plan.write])
+            starts = self._starts(tx, model, ch.assigned(plan, rows.columns))
+            rows = ch.complete(rows, None, plan, order, starts)
+        files = self.store.write(model.name, rows, self._sort(model.name))
+        written = self.store.read(tx.now, model.name, model.schema, only=files)
+        told = mk.facts(plan, None, None, written, self.write_options.validate_constraints)
+        told.require(plan)
+        self._constrain(tx, plan, stored, None, written)
+        self._advance(tx, model, starts, told.highest)
+        tx.now = tx.now.with_files(model.name, [*tx.now.of(model.name), *files])
+        self._observe(tx, plan, mk.changed(None, written, plan), call)
+        return ch.BulkResult(inserted=told.source)
+
+    def _change_rows(self, tx: Transaction, plan: WritePlan, source: DataFrame, call: Call, plain: bool = False) -> ch.BulkResult:
+        """Update, delete, merge and synchronize: one join marks, and everything else follows from what it marked."""
+        model, files = plan.model, tx.now.of(plan.model.name)
+        children = [(m, r) for m, r in cn.referring(model, plan, self.models) if self.write_options.validate_constraints and (m.name == model.name or tx.now.of(m.name))]
+        wants = self._wants(plan, call)
+        want_old = bool(children) or (wants is Needs.ALL and (call.before_images or plan.op is not Op.UPDATE)) or (wants is Needs.ROWS and plan.op in (Op.DELETE, Op.SYNCHRONIZE))
+        near = files
+        if not plain and plan.op is not Op.SYNCHRONIZE and len(files) > self.write_options.narrow_files:
+            near = self._narrowed(files, plan, source)
+        if near:
+            target = mk.located(self.store.read(tx.now, model.name, model.schema, only=near))
+        else:
+            target = self.spark.createDataFrame([], T.StructType([*model.schema.fields, T.StructField(mk.FILE, T.StringType()), T.StructField(mk.ROW, T.LongType())]))
+        marked = materialized(mk.mark(target, source, plan, call.scope, want_old), "marked")
+        fresh, starts = None, {}
+        if plan.op in (Op.MERGE, Op.SYNCHRONIZE):
+            fresh = mk.unmatched(source, marked, plan)
+            numbers = ch.assigned(plan, fresh.columns)
+            starts = self._starts(tx, model, numbers)
+            fresh = materialized(ch.complete(fresh, None, plan, list(plan.match) if numbers else None, starts), "fresh")
+        told = mk.facts(plan, source, marked, fresh, self.write_options.validate_constraints)
+        told.require(plan)
+        if fresh is not None and told.source == told.met:
+            fresh = None
+        stored = mk.located(self.store.read(tx.now, model.name, model.schema)) if files else None
+        self._constrain(tx, plan, stored, marked, fresh, children)
+        self._rewrite(tx, model, marked, fresh, told, everything=plain)
+        self._advance(tx, model, starts, told.highest)
+        self._observe(tx, plan, mk.changed(marked, fresh, plan), call)
+        return told.result(plan)
+
+    def _rewrite(self, tx: Transaction, model: TableModel, marked: DataFrame, fresh: DataFrame | None, told: mk.Facts, everything: bool = False) -> None:
+        """New files for those that lose or change a row, and for new rows."""
+        named = {_plain(f) for f, ops in told.files.items() if any(ops.get(op) for op in (ch.UPDATE, ch.DELETE))}
+        files = tx.now.of(model.name)
+        touched = [f for f in files if everything or _plain(f) in named]
+        parts = []
+        if touched:
+            parts.append(mk.remaining(mk.located(self.store.read(tx.now, model.name, model.schema, only=touched)), marked))
+        if told.count(ch.UPDATE):
+            parts.append(marked.where(F.col("op") == ch.UPDATE).select("new.*"))
+        if fresh is not None:
+            parts.append(fresh)
+        if not parts:
+            return
+        rows = reduce(DataFrame.unionByName, parts)
+        others = [f for f in files if f not in set(touched)]
+        tx.now = tx.now.with_files(model.name, [*others, *self.store.write(model.name, rows, self._sort(model.name))])
+
+    def _constrain(self, tx: Transaction, plan: WritePlan, stored: DataFrame | None, marked: DataFrame | None, fresh: DataFrame | None, children: list = ()) -> None:
+        """Uniques and references, against the table as it will be."""
+        if not self.write_options.validate_constraints:
+            return
+        model = plan.model
+        if stored is None:
+            stored = self.spark.createDataFrame([], T.StructType([*model.schema.fields, T.StructField(mk.FILE, T.StringType()), T.StructField(mk.ROW, T.LongType())]))
+        read = lambda m: self.store.read(tx.now, m.name, m.schema)
+        cn.check_uniques(plan, stored, marked, fresh)
+        tx.relied.update(r.table for r in model.references if r.table in self.models)
+        cn.check_references(plan, read, stored, marked, fresh, self.models)
+        if children and marked is not None:
+            tx.relied.update(m.name for m, _ in children)
+            cn.check_referring(plan, read, stored, marked, fresh, children)
+
+    def _wants(self, plan: WritePlan, call: Call) -> Needs:
+        """What observers and the trail want to see of the rows."""
+        if not call.observers:
+            return Needs.NOTHING
+        wanted = [o.observes(plan.model, plan.op) for o in self.observers]
+        if plan.model.name in self.audit_plans:
+            wanted.append(Needs.ALL if plan.op is not Op.UPDATE or (call.before_images and self.audit_options.before_images) else Needs.ROWS)
+        return Needs(max((n.value for n in wanted), default=0))
+
+    def _observe(self, tx: Transaction, plan: WritePlan, changes: DataFrame, call: Call) -> None:
         if not call.observers:
             return
         for o in self.observers:
-            if o.observes(plan.model, plan.op) is not Needs.NOTHING:
-                o.observed(Observation(plan.model, plan.op, change.changes, call.before_images), tx)
+            needs = o.observes(plan.model, plan.op)
+            if needs is not Needs.NOTHING:
+                images = needs is Needs.ALL and call.before_images
+                seen = changes if images else changes.withColumn("old", F.when(F.col("op") == ch.DELETE, F.col("old")))
+                o.observed(Observation(plan.model, plan.op, seen, images), tx)
         audit = self.audit_plans.get(plan.model.name)
         if audit is not None:
             before = call.before_images and self.audit_options.before_images
-            self.write_entries(tx, entries(audit, change.changes, _SOURCE[plan.op], self.audit_options, before))
+            self.write_entries(tx, entries(audit, changes, _SOURCE[plan.op], self.audit_options, before))
 
     def write_entries(self, tx: Transaction, told: DataFrame) -> None:
-        """Entries to the trail in this commit, or to the session's sink."""
+        """Entries to the trail in this commit, to the session's sink, or after the commit to another store.
+
+        From `batch_threshold` entries on they are written as a batch, fewer as one file."""
         options = self.audit_options
         told = materialized(told, "entries")  # ids are drawn once
-        if told.isEmpty():
+        n = told.count()
+        if not n:
             self.events.publish("audit", "AuditSkipped")
             return
-        self.events.publish("audit", "EntriesCaptured")
-        try:
+        batched = n >= options.batch_threshold
+        self.events.publish("audit", "EntriesCaptured", count=n)
+        rows = told if batched else told.coalesce(1)
+        order = ["entity_type", "entity_key", "occurred_at"] if options.layout is TrailLayout.BY_ROW else ["tenant_id", "occurred_at"] if options.layout is TrailLayout.BY_TENANT else ["occurred_at"]
+
+        def put() -> None:
             if self.sink is not None:
-                self.sink(told, tx)
+                self.sink(rows, tx)
+            elif self.audit_store is not None:  # a commit of its own, after the data's: written now, while the staged entries are there
+                files = self.audit_store.write(options.table, rows, order)
+                tx.after.append(lambda: self._guarded(lambda: self._append(files)))
             else:
-                had = tx.now.files.get(options.table, ())
-                tx.now = tx.now.with_files(options.table, [*had, *self.store.write(options.table, told, ["entity_type", "entity_key", "occurred_at"])])
-            self.events.publish("audit", "EntriesWritten", batched=True)
+                tx.now = tx.now.with_files(options.table, [*tx.now.of(options.table), *self.store.write(options.table, rows, order)])
+            self.events.publish("audit", "EntriesWritten", batched=batched, count=n)
+
+        self._guarded(put)
+
+    def _append(self, files: list[str]) -> None:
+        base = self.audit_store.manifest()
+        self.audit_store.commit(base, base.with_files(self.audit_options.table, [*base.of(self.audit_options.table), *files]))
+
+    def _guarded(self, put: Callable[[], None]) -> None:
+        """A sink that fails undoes the write, unless entries are a best effort whose failure is ignored."""
+        options = self.audit_options
+        try:
+            put()
         except Exception as e:
             self.events.publish("audit", "SinkFailed", error=str(e))
             if options.atomicity is Atomicity.SAME_TRANSACTION or options.on_sink_failure is OnSinkFailure.RAISE:
@@ -371,7 +525,7 @@ class Session:
 
     def save_changes(self, name: str, current: DataFrame, original: DataFrame | None = None) -> ch.BulkResult:
         """Writes the difference between the rows that were read and `current`: new keys are inserted, changed rows
-        updated, missing ones deleted."""
+        updated, missing ones deleted.  Concurrency tokens must still be what they were."""
         with staging(self.spark, lambda path, e: self.events.publish("write", "StagingCleanupFailed", path=path, error=str(e))):
             return self._save_changes(name, current, original)
 
@@ -384,26 +538,80 @@ class Session:
             raise WriteNotSupported(f"{name} wasn't read with tracking, so there is nothing to compare with")
         if not model.key:
             raise WriteNotSupported(f"{name} has no key")
+        if model.temporal or not model.mapped:
+            check_model(model, Op.INSERT)
         diff = materialized(difference(original, current, model), "difference")
-        new, old = diff.where("op = 'INSERT'").select("new.*"), diff.where("op = 'DELETE'").select("old.*")
-        changed = diff.where("op = 'UPDATE'").select("new.*")
-        sizes = {r.op: r.n for r in diff.groupBy("op").agg(F.count(F.lit(1)).alias("n")).collect()}
-        self.events.publish("write", "PartitionsPlanned", table=name, **{k.lower(): v for k, v in sizes.items()})
-        result = ch.BulkResult()
-        call = Call(observers=False)
+        planned = plan_partitions(change_rows(diff, model), self.write_options)
+        fast = [p for p in planned if p.reason is None]
+        self.events.publish("write", "PartitionsPlanned", table=name, partitions=len(planned), accelerated=len(fast), rows=sum(p.n for p in planned))
+        started = time.monotonic()
         with self.transaction() as tx:
-            if sizes.get("DELETE"):
-                result = ch.BulkResult(deleted=self.bulk(Op.DELETE, name, old, call).deleted)
-            if sizes.get("UPDATE"):
-                result = ch.BulkResult(0, self.bulk(Op.UPDATE, name, changed, call).updated, result.deleted)
-            if sizes.get("INSERT"):
-                result = ch.BulkResult(self.bulk(Op.INSERT, name, new, call).inserted, result.updated, result.deleted)
-            audit = self.audit_plans.get(name)
-            if audit is not None:
-                self.write_entries(tx, entries(audit, diff, "SaveChanges", self.audit_options))
+            result = self._apply(tx, model, diff) if planned else ch.BulkResult()
+            for p in planned:
+                if p.reason is not None:
+                    self.events.publish("write", "PartitionDeclined", table=name, state=p.state, shape=p.shape, rows=p.n, reason=p.reason)
+                self.events.publish("write", "PartitionExecuted", table=name, state=p.state, shape=p.shape, rows=p.n, accelerated=p.reason is None, seconds=time.monotonic() - started)
         self._snapshots[name] = model.filtered(self.store.read(self._manifest(), name, model.schema))
         return result
 
+    def _apply(self, tx: Transaction, model: TableModel, diff: DataFrame) -> ch.BulkResult:
+        """All partitions of a change set in one pass over the table: they differ in what is worth planning apart,
+        not in how a versioned table takes them."""
+        tx.relied.add(model.name)
+        condition = (*model.key, *sorted(model.tokens))
+        free = tuple(c for c in model.columns if c not in model.key)
+        plan = WritePlan(model, Op.SYNCHRONIZE, model.key, tuple(c for c in model.columns if c not in model.generated), free, tuple(model.generated))
+        known = diff.where(F.col("op") != ch.INSERT)
+        located = mk.located(self.store.read(tx.now, model.name, model.schema)) if tx.now.of(model.name) else None
+        s = known.select(*[F.col(f"old.`{c}`").alias(f"s__{c}") for c in condition], F.col("op"), F.col("old"), F.col("new"))
+        if located is None:
+            located = self.spark.createDataFrame([], T.StructType([*model.schema.fields, T.StructField(mk.FILE, T.StringType()), T.StructField(mk.ROW, T.LongType())]))
+        on = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"s__{c}")) if c in model.tokens else F.col(f"`{c}`") == F.col(f"s__{c}") for c in condition])
+        number = F.monotonically_increasing_id().alias(mk.SRC)
+        marked = located.join(s, on).select("op", mk.FILE, mk.ROW, number, *[F.col(f"`{c}`").alias(f"m__{i}") for i, c in enumerate(model.key)], "old", "new")
+        marked = materialized(marked, "marked")
+        added = diff.where(F.col("op") == ch.INSERT).select(*[F.col(f"new.`{c}`").alias(c) for c in plan.write])
+        inserting = WritePlan(model, Op.INSERT, (), plan.write, (), plan.generated)
+        starts = self._starts(tx, model, ch.assigned(inserting, list(plan.write)))
+        fresh = materialized(ch.complete(added, None, inserting, None, starts), "fresh")
+        told = mk.facts(WritePlan(model, Op.SYNCHRONIZE, (), plan.write, free, plan.generated), diff, marked.drop(*[f"m__{i}" for i in range(len(model.key))]), fresh, self.write_options.validate_constraints)
+        wanted = diff.groupBy("op").agg(F.count(F.lit(1)).alias("n")).collect()
+        sizes = {r.op: r.n for r in wanted}
+        found = told.count(ch.UPDATE) + told.count(ch.DELETE)
+        missing = sizes.get(ch.UPDATE, 0) + sizes.get(ch.DELETE, 0) - found
+        if missing:
+            raise ConcurrencyConflict(f"{missing} rows of {model.name} were changed or removed since they were read")
+        if told.broken:
+            raise ConstraintViolation(f"{model.name}: {'; '.join(f'{k} ({n} rows)' for k, n in told.broken.items())}")
+        fresh = fresh if sizes.get(ch.INSERT) else None
+        children = [(m, r) for m, r in cn.referring(model, plan, self.models) if m.name == model.name or tx.now.of(m.name)]
+        self._constrain(tx, WritePlan(model, Op.SYNCHRONIZE, (), plan.write, free, plan.generated), located, marked, fresh, children)
+        self._rewrite(tx, model, marked, fresh, told)
+        self._advance(tx, model, starts, told.highest)
+        audit = self.audit_plans.get(model.name)
+        if audit is not None:
+            self.write_entries(tx, entries(audit, mk.changed(marked, fresh, plan), "SaveChanges", self.audit_options))
+        return ch.BulkResult(sizes.get(ch.INSERT, 0), sizes.get(ch.UPDATE, 0), sizes.get(ch.DELETE, 0))
+
+
+def change_rows(diff: DataFrame, model: TableModel) -> DataFrame:
+    """A change set as rows to plan partitions by: state, and the columns written, read back and matched on."""
+    every = [c for c in model.columns if c not in model.generated]
+    free = [c for c in model.columns if c not in model.key]
+    differs = lambda c: ~F.col(f"old.`{c}`").eqNullSafe(F.col(f"new.`{c}`"))
+    texts = lambda cs: F.array(*[F.lit(c) for c in cs]).cast("array<string>")
+    is_new, is_changed = F.col("op") == "INSERT", F.col("op") == "UPDATE"
+    moved = F.array_compact(F.array(*[F.when(differs(c), F.lit(c)) for c in free]).cast("array<string>"))
+    state = F.when(is_new, "Added").when(is_changed, "Modified").otherwise("Deleted")
+    by_hand = state.isin(*sorted(model.procedures)) if model.procedures else F.lit(False)
+    return diff.select(
+        F.monotonically_increasing_id().alias("seq"), F.lit(model.name).alias("table"), state.alias("state"),
+        F.when(is_new, texts(every)).when(is_changed, moved).otherwise(texts([])).alias("write"),
+        F.when(is_new, texts([c for c in model.columns if c in model.generated])).otherwise(texts([])).alias("read"),
+        F.when(is_new, texts([])).otherwise(texts([*model.key, *sorted(model.tokens)])).alias("condition"),
+        by_hand.alias("procedure"), (is_changed & F.arrays_overlap(moved, texts(sorted(model.json)))).alias("json_path") if model.json else F.lit(False).alias("json_path"),
+    )
+
 
 def difference(original: DataFrame, current: DataFrame, model: TableModel) -> DataFrame:
     """(op, old, new) of rows by key; equal rows aren't there."""

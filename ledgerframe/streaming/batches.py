@@ -1,28 +1,32 @@
-"""Finite streams of batches by keyset walk, and micro-batches of a structured stream as bulk writes."""
+"""Finite streams of batches in keyset order, and micro-batches of a structured stream as bulk writes."""
 
 from __future__ import annotations
 
 import threading
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row
 
 from ..errors import WriteNotSupported
-from ..operators.keyset import KeysetDefinition, walk
+from ..operators.keyset import KeysetDefinition
 from ..options import QueryOptions
 
 
 def stream_batches(df: DataFrame, keys: KeysetDefinition, batch: int | None = None, options: QueryOptions = QueryOptions(), cancel: threading.Event | None = None) -> Iterator[list[Row]]:
-    """Batches in keyset order; the ordering is checked before the first read, and none is empty.  Each batch reads
-    the table anew, so it isn't a snapshot unless `df` is one (a version of a stored table)."""
+    """Batches in keyset order; the ordering is checked before the first read, and none is empty.
+
+    The table is put in order once, in ranges over all tasks, and its ranges come to the driver one after another; so
+    a stream costs one sort however many batches it has, and sees the table as it was when it began."""
     keys.validate()
     size = batch or options.batch_size
 
     def run():
-        for page in walk(df, keys, size):
+        rows = keys.order(df).toLocalIterator()
+        while lot := list(islice(rows, size)):
             if cancel is not None and cancel.is_set():
                 return
-            yield page.items
+            yield lot
 
     return run()
 

@@ -64,7 +64,7 @@ def test_search_takes_wildcards_literally(spark):
     assert [r.s for r in filtering.search(df, filtering.SearchSpec(("s",)), "%").collect()] == ["a%b"]
 
 
-def test_scopes_refuse_what_they_cannot_say():
+def test_scopes_refuse_what_they_cannot_say(spark):
     with pytest.raises(WriteNotSupported):
         filtering.Scope.where("a", "<", None)
     with pytest.raises(WriteNotSupported):
@@ -72,13 +72,14 @@ def test_scopes_refuse_what_they_cannot_say():
     with pytest.raises(WriteNotSupported):
         filtering.Scope.sql("t.a = 1") & filtering.Scope.eq("b", 2)
     with pytest.raises(WriteNotSupported):
-        filtering.Scope.sql("t.a = 1", most=3).predicate(models()["orders"])
+        filtering.Scope.sql("t.a = 1", most=3).within(spark.range(1), models()["orders"], "in__")
 
 
 def test_sql_scope_binds_values(spark):
     df = spark.createDataFrame([("it's",), ("x",)], "s string")
     model = TableModel("t", df.schema)
-    assert df.where(filtering.Scope.sql("t.s = :v", v="it's").predicate(model)).count() == 1
+    inside = lambda text, **args: filtering.Scope.sql(text, **args).within(df, model, "in__").where("in__").count()
+    assert inside("t.s = :v", v="it's") == 1 and inside("t.s = :v -- {or} ':x'", v="it's") == 1 and inside("t.s = ':v' or t.s = :v", v="t.:v ' x") == 0
 
 
 # sorting
