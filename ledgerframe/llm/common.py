@@ -1,13 +1,13 @@
 """Shared pieces of the operators: inputs, shared scratch tables, Arrow text buffers.
 
-Scratch tables go under the folder that the session names in ``spark.checkpoint.dir``, which all
-executors and the driver share.  Only where that is unset (tests, a notebook) a folder is made.
+Scratch tables go under the folder that the session names in ``spark.checkpoint.dir``, which all executors and the driver
+share; where it is unset, only a local master is served.  They last as long as the results that read them;
+`ledgerframe.functions.ordinals.drop_scratch` deletes them at the end of a job.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordinals import shared_folder as shared_dir
+
 #: Text handled at once inside a task: its arrays stay near the processor.
 SLICE_BYTES = 1 << 19
 
@@ -50,15 +52,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors and driver share."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='ledgerframe-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def kept(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read again: cuts lineage and outlives executors."""
     spark = df.sparkSession
@@ -81,6 +74,28 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bits of a hash set that travels to every task: 8 MB, whatever it is made of.
+SET_BITS = 26
+
+
+def hash_set(hashes: DataFrame, name: str) -> DataFrame:
+    """A bounded set of 64-bit hashes as rows of 32,768 bits."""
+    bit = F.pmod(F.col(name), F.lit(1 << SET_BITS)) + 1
+    return hashes.groupBy(F.bitmap_bucket_number(bit).alias("bucket__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits__"))
+
+
+def maybe_in(rows: DataFrame, name: str, found: DataFrame, flag: str) -> DataFrame:
+    """`rows` with `flag`: false where the hash `name` is surely not in `found` (of hash_set), so that rows that can't
+    match need not be shuffled to learn so.  A set of very many hashes says true more often, which costs and harms
+    nothing."""
+    bit = F.pmod(F.col(f"`{name}`"), F.lit(1 << SET_BITS)) + 1
+    at = F.bitmap_bit_position(bit)
+    joined = rows.join(F.broadcast(found), F.bitmap_bucket_number(bit) == F.col("bucket__"), "left")  # at most 2 ** (SET_BITS - 15) rows
+    byte = F.conv(F.hex(F.substring("bits__", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    inside = F.getbit(byte, at.cast("int").bitwiseAND(7)) == 1
+    return joined.withColumn(flag, F.coalesce(inside, F.lit(False))).drop("bucket__", "bits__")
+
+
 def pieces(total: int, each: int) -> int:
     """Number of blocks of about `each` that hold `total`."""
     return max(1, -(-int(total) // each))

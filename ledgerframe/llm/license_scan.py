@@ -23,24 +23,39 @@ from .common import LOWER, WORD_BYTE, columns, run_hashes, slices, text_buffer,
 #: Base phrases and their labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Licence texts and notices by label (fixed values, as their licensors publish them).
+#: Whole texts of short licences, the notices and grants of long ones, and official titles (fixed values: public
+#: wording, as words in lower case).
+MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+MIT_TERMS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+BSD_TWO = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_THIRD = "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_TERMS = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+GNU_FREE = "is free software you can redistribute it and or modify it under the terms of the gnu"
+GNU_NO_WARRANTY = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu"
 TEMPLATES = {
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "mit-text": f"{MIT_GRANT} {MIT_TERMS}",
+    "bsd-2": f"{BSD_TWO} {BSD_TERMS}",
+    "bsd-3": f"{BSD_TWO} {BSD_THIRD} {BSD_TERMS}",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
+    "boost": "boost software license version 1 0 august 17th 2003 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
     "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
-    "gpl-3": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses",
-    "gpl-3-line": "this work is licensed under the gnu general public license version 3",
-    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
-    "agpl": "under the terms of the gnu affero general public license as published by the free software foundation",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
-    "cc-by-nc": "licensed under cc by nc 4 0",
-    "cc-by-sa": "licensed under cc by sa 4 0",
-    "cc-by": "licensed under a creative commons attribution 4 0 international license",
-    "mit-line": "released under the mit license",
-    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
-    "boost": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "apache-2.0-grant": "grant of copyright license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form grant of patent license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license to make have made use offer to sell sell import and otherwise transfer the work",
+    "gpl-2": f"this program {GNU_FREE} general public license as published by the free software foundation either version 2 of the license or at your option any later version this program {GNU_NO_WARRANTY} general public license for more details you should have received a copy of the gnu general public license along with this program if not write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa",
+    "gpl-3": f"this program {GNU_FREE} general public license as published by the free software foundation either version 3 of the license or at your option any later version this program {GNU_NO_WARRANTY} general public license for more details you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses",
+    "lgpl": f"this library {GNU_FREE} lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library {GNU_NO_WARRANTY} lesser general public license for more details you should have received a copy of the gnu lesser general public license along with this library",
+    "agpl-3": f"this program {GNU_FREE} affero general public license as published by the free software foundation either version 3 of the license or at your option any later version this program {GNU_NO_WARRANTY} affero general public license for more details you should have received a copy of the gnu affero general public license along with this program if not see https www gnu org licenses",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
 }
+#: Official titles and short names; one of them whole is a place of its own, whatever stands around it.
+TITLES = {
+    "apache license version 2 0": "apache-2.0", "apache license 2 0": "apache-2.0", "gnu general public license version 2": "gpl-2", "gnu general public license version 3": "gpl-3",
+    "gnu lesser general public license": "lgpl", "gnu affero general public license": "agpl-3", "mozilla public license version 2 0": "mpl-2.0", "mozilla public license 2 0": "mpl-2.0",
+    "bsd 2 clause": "bsd-2", "bsd 3 clause": "bsd-3", "isc license": "isc", "zlib license": "zlib", "boost software license": "boost", "cc0 1 0": "cc0", "creative commons zero": "cc0",
+    "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc", "cc by nd 4 0": "cc-by-nd", "cc by nc sa 4 0": "cc-by-nc-sa", "cc by nc nd 4 0": "cc-by-nc-nd",
+    "creative commons attribution 4 0": "cc-by", "creative commons attribution sharealike 4 0": "cc-by-sa", "creative commons attribution noncommercial 4 0": "cc-by-nc",
+}
 
 
 class SuffixAutomaton:
@@ -111,10 +126,10 @@ class SuffixAutomaton:
 class LicenseIndex:
     """The automaton of all templates and phrases, with the lookups that streaming needs."""
 
-    def __init__(self, phrases: dict[str, str], templates: dict[str, str], least: int = 4, gap: int = 4, cover: float = 0.5):
-        self.least, self.gap, self.cover = least, gap, cover
-        texts = [*phrases, *templates.values()]
-        self.labels, self.n_phrases = [*phrases.values(), *templates], len(phrases)
+    def __init__(self, phrases: dict[str, str], templates: dict[str, str], titles: dict[str, str] = {}, least: int = 4, gap: int = 6, words: int = 8):  # noqa: B006
+        self.least, self.gap, self.words = least, gap, words
+        texts = [*phrases, *titles, *templates.values()]
+        self.labels, self.n_base, self.n_phrases = [*phrases.values(), *titles.values(), *templates], len(phrases), len(phrases) + len(titles)
         names = sorted({w for t in texts for w in t.split()})
         self.number = {w: i for i, w in enumerate(names)}
         self.sequences = [[self.number[w] for w in t.split()] for t in texts]
@@ -166,9 +181,10 @@ class LicenseIndex:
             found.append((before[0] - before[1], before[0], before[2]))
         return places, found
 
-    def chain(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(template, begin, end, covered share) of the long matches' chains: per template, matches that follow
-        each other within `gap` words are one chain."""
+    def chain(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float, int]]:
+        """(template, begin, end, covered share, matched words) of the long matches' chains: per template, matches
+        that follow each other within `gap` words are one chain.  Of chains over the same words that of the most
+        matched words stays, so a wording that licences share counts for the one that it goes on as."""
         open_, spans = {}, []
         for a, b, state in found:
             for k in self.auto.within[state]:
@@ -183,22 +199,35 @@ class LicenseIndex:
                         spans.append((k, *c))
                     open_[k] = [a, b, b - a]
         spans += [(k, *c) for k, c in open_.items()]
-        sized = [(k, a, b, min(1.0, n / len(self.sequences[k]))) for k, a, b, n in spans]
-        return [s for s in sized if s[3] >= self.cover]
+        spans.sort(key=lambda c: (-c[3], c[1], c[0]))
+        best = np.zeros(0, np.int64)  # most matched words of a chain over each word
+        if spans:
+            first, last = min(c[1] for c in spans), max(c[2] for c in spans)
+            best = np.zeros(last - first, np.int64)
+        out = []
+        for k, a, b, n in spans:
+            under = best[a - first : b - first]
+            if n >= self.words and 2 * (under > n).sum() < b - a:
+                out.append((k, a, b, min(1.0, n / len(self.sequences[k])), n))
+            np.maximum(under, n, out=under)
+        return out
 
 
 @cache
 def default_index() -> LicenseIndex:
-    return LicenseIndex(PHRASES, TEMPLATES)
+    return LicenseIndex(PHRASES, TEMPLATES, TITLES)
 
 
-_PLACE = "struct<label:string,start:bigint,end:bigint,covered:double,base:boolean>"
+_PLACE = "struct<label:string,start:bigint,end:bigint,covered:double,words:bigint,base:boolean>"
+
+#: A span of this share of its template, or of so many of its words, gives the text the template's label.
+COVER, PASSAGE = 0.5, 30
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, and `places`: word spans of base phrases and of chained template matches with the share
-    of the template that they cover.  One pass over the texts; nothing is shuffled."""
-    place = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("covered", pa.float64()), ("base", pa.bool_())])
+    """doc_id, n_words, and `places`: word spans of base phrases, of titles, and of chained template matches with the
+    matched words and the share of the template that they cover, however small.  One pass over the texts; nothing is shuffled."""
+    place = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("covered", pa.float64()), ("words", pa.int64()), ("base", pa.bool_())])
 
     def run(batches):
         index = default_index()
@@ -228,19 +257,22 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                         had[1].extend((base + x, base + y, s) for x, y, s in long)
                 rows = [[] for _ in range(batch.num_rows)]
                 for doc, (places, long) in found.items():
-                    rows[doc] = [{"label": index.labels[k], "start": p, "end": p + len(index.sequences[k]), "covered": 1.0, "base": True} for k, p in places]
-                    rows[doc] += [{"label": index.labels[k], "start": a, "end": b, "covered": c, "base": False} for k, a, b, c in index.chain(long)]
+                    sized = [(k, p, len(index.sequences[k])) for k, p in places]
+                    rows[doc] = [{"label": index.labels[k], "start": p, "end": p + n, "covered": 1.0, "words": n, "base": k < index.n_base} for k, p, n in sized]
+                    rows[doc] += [{"label": index.labels[k], "start": a, "end": b, "covered": c, "words": n, "base": False} for k, a, b, c, n in index.chain(long)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(rows, pa.list_(place))], ["doc_id", "n_words", "places"])
 
     return columns(docs, doc_id="bigint", text="string").mapInArrow(run, f"doc_id bigint, n_words bigint, places array<{_PLACE}>")
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
-    """The scan as one row of counts and labels per document."""
+    """The scan as one row of counts and labels per document.  Spans short of a label still count for the score."""
     base = F.filter("places", lambda p: p["base"])
+    sure = F.filter("places", lambda p: (p["covered"] >= COVER) | (p["words"] >= PASSAGE))
     starts = F.transform(base, lambda p: p["start"])
     named = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda p: p["label"]))), ",")
+    strength = lambda p: F.greatest(p["covered"], F.least(F.lit(1.0), p["words"] / F.lit(float(PASSAGE))))
     return scan_licenses(docs).select(
         "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        named(base).alias("base_labels"), named(F.col("places")).alias("labels"), F.coalesce(F.array_max(F.transform("places", lambda p: p["covered"])), F.lit(0.0)).alias("score"),
+        named(base).alias("base_labels"), named(sure).alias("labels"), F.coalesce(F.array_max(F.transform("places", strength)), F.lit(0.0)).alias("score"),
     )

@@ -5,8 +5,8 @@ every length; what rounding leaves is fitted by a bounded-knapsack dynamic progr
 an integer, counts by doubling).  The documents of a length are then selected by a seeded hash: those at or
 below the hash that the wanted count reaches.
 
-Only counts by (source, length) meet in one task; a source has at most sqrt(2 * its words) lengths.  The
-driver sees one row a source.  The wanted hash is found in hash ranges of about `range_docs` rows, so a length
+Only counts by (source, length) meet in one task; a source has at most sqrt(2 * its words) lengths.  Targets
+are reshared by sums over a table of the sources, so the driver sees a few numbers.  The wanted hash is found in hash ranges of about `range_docs` rows, so a length
 that a third of all rows share is spread over many tasks.
 
 Defined results: a null text has size 0 and adds no words, and is in the mix as often as its source is taken whole; a null source is a source of its own and comes last;
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.ordinals import with_dense_ordinal
 from .common import columns, kept
 
 #: Words of a text (whitespace is space, tab to carriage return).
@@ -58,6 +59,30 @@ def targets(sizes: list[int], spec: MixSpec) -> list[float]:
     return out
 
 
+def budgets(lengths: DataFrame, spec: MixSpec) -> DataFrame:
+    """(source, source_size, target) of every source, as `targets` gives them: places in code point order come from
+    counts of sorted ranges, and a round of resharing is one sum, so the driver holds a few numbers."""
+    sized = lengths.groupBy("source").agg(F.sum(F.col("mix_size") * F.col("n")).alias("source_size"))
+    placed = with_dense_ordinal(sized, "place", [F.col("source").isNull(), F.col("source")])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in spec.weights]), (F.col("place") % len(spec.weights) + 1).cast("int"))
+    rows = kept(placed.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * spec.limit).cast("double").alias("most")), "mix-sources")
+    budget = spec.share * float(rows.agg(F.sum("source_size").alias("s")).first().s or 0)
+    active, share = rows.withColumn("target", F.lit(None).cast("double")), None
+    while True:
+        total = active.where("target IS NULL").agg(F.sum("weight").alias("w")).first().w
+        if not total:
+            break
+        share = F.lit(budget) * F.col("weight") / F.lit(float(total))
+        over = F.col("target").isNull() & (share > F.col("most"))
+        stopped = active.where(over).agg(F.count(F.lit(1)).alias("n"), F.sum("most").alias("m")).first()
+        if not stopped.n:
+            active = active.withColumn("target", F.coalesce("target", share))
+            break
+        active = kept(active.withColumn("target", F.when(over, F.col("most")).otherwise(F.col("target"))), "mix-targets")
+        budget -= stopped.m
+    return kept(active.select("source", "source_size", "target"), "mix-targets")
+
+
 def fit(counts: dict[int, int], budget: int, window: int) -> dict[int, int]:
     """How many documents of each length to take, at most `counts`, so that their sum comes closest to `budget`
     from below: a share of each, long lengths until `window` words are left, then the knapsack."""
@@ -103,19 +128,17 @@ def mix_plan(docs: DataFrame, spec: MixSpec = MixSpec()) -> tuple[DataFrame, Dat
     and length the copies that every document of it gets and the hash up to which one copy more is taken."""
     rows = kept(_sized(columns(docs, doc_id="bigint", text="string", source="string"), spec).drop("text"), "mix-rows")
     lengths = kept(rows.groupBy("source", "mix_size").agg(F.count(F.lit(1)).alias("n")), "mix-lengths")
-    sources = lengths.groupBy("source").agg(F.sum(F.col("mix_size") * F.col("n")).alias("s")).collect()
-    sources.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    goal = {r.source: (int(r.s), t) for r, t in zip(sources, targets([int(r.s) for r in sources], spec))}
     window, limit = spec.window, spec.limit
+    goals = budgets(lengths, spec).withColumnRenamed("source", "g_source")
+    aimed = lengths.join(goals, F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
 
     def plan_source(part: pd.DataFrame) -> pd.DataFrame:
-        name = part["source"].iloc[0]
-        size, target = goal[None if pd.isna(name) else name]
+        size, target = int(part["source_size"].iloc[0]), float(part["target"].iloc[0])
         whole = min(limit, int(target // size)) if size else 0
         extra = fit(dict(zip(part["mix_size"].tolist(), part["n"].tolist())), min(round(target), limit * size) - whole * size, window)
-        return part.assign(source_size=size, target=target, copies=whole, more=[extra.get(x, 0) for x in part["mix_size"]])
+        return part.assign(copies=whole, more=[extra.get(x, 0) for x in part["mix_size"]])
 
-    plan = kept(lengths.groupBy("source").applyInPandas(plan_source, "source string, mix_size bigint, n bigint, source_size bigint, target double, copies bigint, more bigint"), "mix-plan")
+    plan = kept(aimed.groupBy("source").applyInPandas(plan_source, "source string, mix_size bigint, n bigint, source_size bigint, target double, copies bigint, more bigint"), "mix-plan")
     # the hash that the wanted count reaches: first the range of hashes, then the place in it
     partly = plan.where((F.col("more") > 0) & (F.col("more") < F.col("n"))).select(F.col("source").alias("p_source"), F.col("mix_size").alias("p_size"), "n", "more")
     ranged = (

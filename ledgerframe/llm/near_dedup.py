@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, columns, free_name, kept, mix, pieces, run_hashes, slices, text_buffer, word_runs
+from .common import LOWER, NOT_SPACE, columns, free_name, hash_set, kept, maybe_in, mix, pieces, run_hashes, slices, text_buffer, word_runs
 from .components import components
 
 
@@ -342,6 +342,9 @@ def near_components(docs: DataFrame, spec: NearSpec = NearSpec()) -> tuple[DataF
     sized = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp")
     wanted = sized.join(nodes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")), "node")
     source = columns(docs, doc_id="bigint", text="string").withColumn("text_hash", F.xxhash64("text"))
+    wanted = kept(wanted, "near-wanted")
+    # only texts that a group may want are sent to it
+    source = maybe_in(source, "text_hash", hash_set(wanted.select("rep_hash"), "rep_hash"), "wanted__").where("wanted__").drop("wanted__")
     found = wanted.join(source, (F.col("rep_hash") == F.col("text_hash")) & F.col("rep_id").eqNullSafe(F.col("doc_id")))
     texts = kept(found.select("grp", "size", "node", "text"), "near-texts")
     total = groups.count()
@@ -376,12 +379,17 @@ def without_near_copies(docs: DataFrame, spec: NearSpec = STAGE) -> DataFrame:
     rows, names = near_components(docs, spec)
     wordy = rows.where("n_shingles > 0").join(names.select("node", "root"), "node")
     chosen = wordy.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("c"))
-    id_, text_ = free_name(docs, "near_id"), free_name(docs, "near_text")
-    chosen = kept(chosen.select(F.col("c.doc_id").alias("chosen_id"), F.col("c.text_hash").alias("chosen_text")), "near-chosen")
+    id_, text_, flag = (free_name(docs, x) for x in ("near_id", "near_text", "near_flag"))
+    each = kept(wordy.join(chosen, "root").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("c.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("c.text_hash") == F.col("text_hash"))).alias("stays")), "near-each")
+    gone = each.where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text"))
+    again = each.where(F.col("stays") & (F.col("n") > 1)).select("text_hash")  # rows that repeat both id and text
+    # nearly all rows stay: only those that may go, or may be a repeat, are shuffled
+    doubt = hash_set(gone.select(F.col("gone_text").alias("text_hash")).unionAll(again), "text_hash")
     own = [F.col(f"`{c}`") for c in docs.columns]
     tagged = docs.select(*own, F.col("doc_id").cast("bigint").alias(id_), F.xxhash64(F.col("text").cast("string")).alias(text_))
     wordless = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) == 0
-    found = tagged.where(~wordless).join(chosen, (F.col(text_) == F.col("chosen_text")) & F.col(id_).eqNullSafe(F.col("chosen_id")), "left_semi")
-    if not wordy.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        found = found.dropDuplicates([id_, text_])  # rows that repeat both id and text
-    return found.select(*own).unionAll(tagged.where(wordless).select(*own))
+    marked = maybe_in(tagged, text_, doubt, flag).withColumn(flag, F.col(flag) & ~wordless)
+    left = marked.where(F.col(flag)).join(gone, (F.col(text_) == F.col("gone_text")) & F.col(id_).eqNullSafe(F.col("gone_id")), "left_anti")
+    if not again.isEmpty():
+        left = left.dropDuplicates([id_, text_])
+    return marked.where(~F.col(flag)).select(*own).unionAll(left.select(*own))

@@ -15,6 +15,8 @@ A probability depends only on the window of `order` bytes and the byte itself, s
 
 * each task counts the distinct windows of its texts, and counts are merged by shard, a hash of the three bytes
   before the predicted one, so that a shard holds every longer context of its windows;
+* shards are as many as blocks, without a cap: windows of one shard share three bytes, so a shard has at most 2**24
+  different ones for each such context however large the corpus, and a block asks as many shards as it has contexts;
 * contexts of up to two bytes are at most 2**24 counts, the only thing that is broadcast;
 * texts are dealt into blocks of about `block_chars`; a block's distinct windows go to their shards, their log
   probabilities come back in that order, and the block sums them up by text.
@@ -29,7 +31,6 @@ the base is log10(0.5/0.5) a token; an empty table gives an empty result; extra
 
 from __future__ import annotations
 
-import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,7 +59,6 @@ class PpmSpec:
     order: int = 5
     least_run: int = 4
     block_chars: int = 6_000_000
-    most_shards: int = 4096
     merge: int = 64
 
 
@@ -276,6 +276,38 @@ def found_in(names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, names[at] == x
 
 
+def counted_level(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(keys, counts, contexts, n, t) of the windows of one order."""
+    ctx = k >> u64(8)
+    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
+    return k, c, ctx[first], np.add.reduceat(c, first) if len(c) else c, np.diff(np.append(first, len(ctx)))
+
+
+def shorter_counts(j: int, level: tuple[np.ndarray, ...], keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each context of order j the counts that its bytes have in the context one byte shorter, whose windows are
+    given."""
+    k, _, ctx = level[:3]
+    at, there = found_in(keys, k & u64((1 << 8 * j) - 1))
+    c = np.where(there, counts[at] if len(counts) else 0, 0)
+    return np.add.reduceat(c, np.searchsorted(k >> u64(8), ctx)) if len(c) else c
+
+
+_short: list = [None, 0, None]
+
+
+def short_levels(low: tuple[np.ndarray, np.ndarray], upto: int) -> tuple[dict, ...]:
+    """Orders 0 to `upto` of the corpus's short windows, built once for the table that a process holds."""
+    if _short[0] is not low or _short[1] != upto:
+        out: tuple[dict, ...] = ({}, {}, {}, {}, {}, {})
+        for j in range(upto + 1):
+            level = counted_level(*merged([low[0] & u64((1 << 8 * (j + 1)) - 1)], [low[1]]))
+            for d, x in zip(out, level):
+                d[j] = x
+            out[5][j] = shorter_counts(j, level, out[0][j - 1], out[1][j - 1]) if j else np.zeros(len(level[2]), np.int64)
+        _short[:] = [low, upto, out]
+    return _short[2]
+
+
 class Trie:
     """Contexts of every order with what coding needs: n counts and t different bytes after a context, and
     `out`, the counts that those t bytes have in the context one byte shorter."""
@@ -283,24 +315,12 @@ class Trie:
     def __init__(self, order: int, keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray]):
         """keys, counts: windows of all longer contexts that share a shard; low: of the shortest, of the corpus."""
         self.order = order
-        self.keys, self.counts, self.ctx, self.n, self.t, self.out = {}, {}, {}, {}, {}, {}
-        for j in range(order, -1, -1):
-            if j > LOW:
-                k, c = merged([keys & u64((1 << 8 * (j + 1)) - 1)], [counts])
-            else:
-                k, c = merged([low[0] & u64((1 << 8 * (j + 1)) - 1)], [low[1]])
-            self.keys[j], self.counts[j] = k, c
-            ctx = k >> u64(8)
-            first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
-            self.ctx[j] = ctx[first]
-            self.n[j] = np.add.reduceat(c, first) if len(c) else c
-            self.t[j] = np.diff(np.append(first, len(ctx)))
-        for j in range(order, 0, -1):
-            at, there = found_in(self.keys[j - 1], self.keys[j] & u64((1 << 8 * j) - 1))
-            c = np.where(there, self.counts[j - 1][at] if len(self.counts[j - 1]) else 0, 0)
-            first = np.searchsorted(self.keys[j] >> u64(8), self.ctx[j])
-            self.out[j] = np.add.reduceat(c, first) if len(c) else c
-        self.out[0] = np.zeros(len(self.ctx[0]), np.int64)
+        short = short_levels(low, min(order, LOW))
+        self.keys, self.counts, self.ctx, self.n, self.t, self.out = (dict(x) for x in short)
+        for j in range(LOW + 1, order + 1):
+            level = counted_level(*merged([keys & u64((1 << 8 * (j + 1)) - 1)], [counts]))
+            self.keys[j], self.counts[j], self.ctx[j], self.n[j], self.t[j] = level
+            self.out[j] = shorter_counts(j, level, self.keys[j - 1], self.counts[j - 1])
 
     def walk(self, q: np.ndarray, without: np.ndarray | None = None):
         """The coding steps of each window's last byte, from the longest seen context down: (order, rows, after,
@@ -414,7 +434,7 @@ def escape_counts(trie: DataFrame, low, order: int) -> np.ndarray:
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
                 k, c = from_steps(keys), from_planes(counts, np.int64)
-                cells = Trie(order, k, c, pickle.loads(low.value)).tally(k, c).ravel()
+                cells = Trie(order, k, c, low.value).tally(k, c).ravel()
                 at = np.flatnonzero(cells)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at].astype(np.int64))], ["cell", "n"])
 
@@ -491,12 +511,12 @@ def ppm_scores(docs: DataFrame, spec: PpmSpec = PpmSpec()) -> DataFrame:
     source = columns(docs, doc_id="bigint", text="string")
     size = source.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = pieces(size, spec.block_chars)
-    shards = min(max(16, blocks), spec.most_shards)
+    shards = max(16, blocks)
     trie = kept(trained(source.where(train_side(F.col("doc_id"))), spec, shards), "ppm-trie")
     told = lambda batches: (pa.RecordBatch.from_arrays([pa.array([sum(len(x) // 8 for x in b.column("keys").to_pylist())], pa.int64()), pa.array([int(sum(from_planes(x, np.int64).sum() for x in b.column("counts").to_pylist()))], pa.int64())], ["v", "n"]) for b in batches)
     totals = trie.where(F.col("kind") == WORDS).select("keys", "counts").mapInArrow(told, "v bigint, n bigint").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     v, n_train = int(totals.v or 0), int(totals.n or 0)
-    low = docs.sparkSession.sparkContext.broadcast(pickle.dumps(low_counts(trie)))  # at most 2**24 counts
+    low = docs.sparkSession.sparkContext.broadcast(low_counts(trie))  # at most 2**24 counts; a worker reads them once
     escapes = escape_table(escape_counts(trie, low, spec.order))
     repeat_escapes = run_escapes([r["counts"] for r in trie.where(F.col("kind") == REPEATS).select("counts").collect()])
     dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("bigint"))
@@ -510,7 +530,7 @@ def ppm_scores(docs: DataFrame, spec: PpmSpec = PpmSpec()) -> DataFrame:
         if rows.num_rows:
             kind = rows["kind"][0].as_py()
             k, c = (from_steps(known["keys"][0].as_py()), from_planes(known["counts"][0].as_py(), np.int64)) if known.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            model = Trie(spec.order, k, c, pickle.loads(low.value)) if kind == WINDOWS else None
+            model = Trie(spec.order, k, c, low.value) if kind == WINDOWS else None
             for keys in rows["keys"].to_pylist():
                 q = from_steps(keys)
                 if kind == WINDOWS:

@@ -39,22 +39,38 @@ def op5_toxicity(spark, sf_dir):
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op6_token_rollup(spark, sf_dir):
-    """Totals after four commits: all documents under two tokenizer versions, the same batch again (no effect),
-    deletes of documents labelled as low quality, and revised counts of the rest under a newer alnum rule."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+def _rollup(spark, sf_dir, counts, versions):
+    """A store after four commits: all documents, the same batch again (no effect), deletes of documents labelled as
+    low quality, and revised word counts of the rest under a newer rule."""
+    labels = table(spark, sf_dir, "labels")
     low = labels.where(F.col("quality") == 0).select("doc_id").distinct()
     store = RollupStore(spark, f"{shared_dir(spark)}/ledgerframe/rollup-{uuid.uuid4().hex}")
+    store.commit("2024-01-load", inserts(counts, versions))
+    store.commit("2024-01-load", inserts(counts, versions))
+    store.commit("2024-02-removal", deletes(counts.join(low, "doc_id", "left_semi"), versions))
+    store.commit("2024-03-revision", revisions(counts.join(low, "doc_id", "left_anti"), "words-1", "alpha-2"))
+    return store
+
+
+def op6_token_rollup(spark, sf_dir):
+    """Totals by a word rule and two public vocabularies: `_rollup`, and then documents labelled as good move from one
+    vocabulary to the other."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     # counted once; what is joined and summed later is a few numbers a document
-    counts = kept(counted(docs, ("words-1", "alnum-1", "alpha-2")), "rollup-counts")
-    both = ("words-1", "alnum-1")
-    store.commit("2024-01-load", inserts(counts, both))
-    store.commit("2024-01-load", inserts(counts, both))
-    store.commit("2024-02-removal", deletes(counts.join(low, "doc_id", "left_semi"), both))
-    store.commit("2024-03-revision", revisions(counts.join(low, "doc_id", "left_anti"), "alnum-1", "alpha-2"))
+    counts = kept(counted(docs, ("words-1", "alpha-2", "bpe-50k", "bpe-multi-50k")), "rollup-counts")
+    store = _rollup(spark, sf_dir, counts, ("words-1", "bpe-50k"))
+    moved = counts.join(labels.where(F.col("quality") == 1).select("doc_id").distinct(), "doc_id", "left_semi")
+    moved = moved.join(labels.where(F.col("quality") == 0).select("doc_id").distinct(), "doc_id", "left_anti")
+    store.commit("2024-04-vocabulary", deletes(moved, ("bpe-50k",)).unionAll(inserts(moved, ("bpe-multi-50k",))))
     return store.totals()
 
 
+def rollup_by_words(spark, sf_dir):
+    """The part of op6_token_rollup that SQL can express: totals by the word rule."""
+    counts = kept(counted(table(spark, sf_dir, "documents"), ("words-1", "alpha-2")), "rollup-counts")
+    return _rollup(spark, sf_dir, counts, ("words-1",)).totals()
+
+
 def op7_secret_scan(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -75,6 +91,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_packing, op3_ann_forest, op4_mixing, op5_toxicity,
-        op6_token_rollup, op7_secret_scan, op8_phrase_prints, op9_near_dedup, op10_ppm_score,
+        op6_token_rollup, op7_secret_scan, op8_phrase_prints, op9_near_dedup, op10_ppm_score, rollup_by_words,
     )
 }

@@ -6,7 +6,7 @@ whose header is that of a signed token are reported besides the base patterns.
 
 Defined results: a null text counts as empty and has no spans; ids may be null or repeat, each row is scanned
 by itself; an empty table gives an empty result; columns besides doc_id and text are not read.  Texts are
-scanned whole whatever their length.  A candidate that decodes to text is searched once more inside, so a
+scanned whole whatever their length, in time that grows with it: no pattern goes back over what it has read.  A candidate that decodes to text is searched once more inside, so a
 key wrapped twice is found; the span is that of the outer candidate.  Line breaks may be escaped (JSON, string
 literals); base64 without armour is joined over lines of one width and a shorter last one.  A token begins with a
 dotted part and has three parts, or five if its header names an encryption; what follows after a dot is not its.
@@ -18,6 +18,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +37,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so these are the runs o
 _PEM = re.compile(r"""-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:[A-Za-z0-9+/=\s:,\\"']++|-(?!----))*+)-----END \1PRIVATE KEY-----""")
 _DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]*+){2,}+")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
-_BREAK = r"(?:(?:\\+[nrt])+|\r?\n[\x20\t]*+)"
+_BREAK = r"(?:(?:\\++[nrt])++|\r?\n[\x20\t]*+)"
 _WRAPPED = re.compile(r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]{40,}+(?:" + _BREAK + r"[A-Za-z0-9+/_-]++)++={0,2}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_KEY = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
@@ -159,9 +160,9 @@ def _after_escape(text: str, at: int) -> bool:
 
 def pem_body(body: str) -> str:
     """The base64 text of a PEM body, whose line breaks may be escaped, in one string literal or one for each line."""
-    body = re.sub(r"\\+(?:[nrt]|u000[aAdD9])", "\n", body)
-    body = re.sub(r"\\+(?=\s|/)", "", body)
-    body = re.sub(r"""\\*["']\s*\+?\s*\\*["']""", "\n", body)
+    body = re.sub(r"(?<!\\)\\++(?:[nrt]|u000[aAdD9])", "\n", body)
+    body = re.sub(r"(?<!\\)\\++(?=\s|/)", "", body)
+    body = re.sub(r"""(?<!\\)\\*+["']\s*+(?:\+\s*+)?\\*+["']""", "\n", body)
     return re.sub(r"\s+", "", "".join(x for x in body.strip("\"'\\+ \t\r\n").splitlines() if ":" not in x))
 
 
@@ -208,12 +209,17 @@ def confirmed(text: str, depth: int = 1) -> Iterator[tuple[int, int, str]]:
             yield *m.span(), "pem"
     for a, b in tokens(text):
         yield a, b, "token"
-    free = lambda at: not any(a <= at < b for a, b in taken)
+
+    def free(at: int) -> bool:
+        """Whether no span taken so far holds the place; spans are in order and apart."""
+        i = bisect_right(taken, (at, len(text) + 1)) - 1
+        return i < 0 or at >= taken[i][1]
+
     for spans in wrapped(text):
         for a, b in spans:
             blob = decoded(re.sub(_BREAK, "", text[a:b])) if free(a) else None
             if blob and _inside(blob, depth):
-                taken.append((a, b))
+                insort(taken, (a, b))
                 yield a, b, "key"
                 break
     for pattern, read in ((_BASE64, decoded), (_HEX_KEY, bytes.fromhex)):

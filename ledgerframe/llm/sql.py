@@ -2,16 +2,9 @@
 
 ORACLES: dict[str, str] = {}
 
-ORACLES["op6_token_rollup"] = r"""
-WITH live AS (
-  SELECT source, lang, lower(coalesce(text, '')) AS t FROM documents
-  WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL)
-), n AS (
-  SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS k FROM live
-  UNION ALL
-  SELECT source, lang, 'alnum-1', len(regexp_extract_all(t, '[a-z]+')) FROM live
-)
-SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(k)::BIGINT AS tokens FROM n GROUP BY ALL
+ORACLES["rollup_by_words"] = r"""
+SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS docs, sum(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')))::BIGINT AS tokens FROM documents
+WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL) GROUP BY ALL
 """
 
 ORACLES["op9_near_dedup"] = r"""
