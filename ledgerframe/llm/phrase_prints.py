@@ -174,7 +174,19 @@ def print_texts(docs: DataFrame, spec: PrintSpec = PrintSpec()) -> DataFrame:
 
 _RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NAMES = [x.split()[0] for x in _RESULT.split(", ")]
-_TYPES = [{"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in _RESULT.split(", ")]
+#: Between tasks and on disk, digests and fingerprints are bytes: half of their text.
+_RAW = _RESULT.replace("string", "binary")
+_TYPES = [{"bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[x.split()[1]] for x in _RAW.split(", ")]
+
+
+def packed(whole: np.uint64, sketch: np.ndarray) -> bytes:
+    return int(whole).to_bytes(8, "big") + sketch.astype(">u4").tobytes()
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """Rows with digests and fingerprints as text."""
+    text = lambda c: F.concat(F.lower(F.hex(F.substring(c, 1, 8))), F.lit(":"), F.lower(F.hex(F.substring(c, 9, 2**31 - 1)))).alias(c)
+    return rows.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
 
 
 def compared(ids: pa.Array, texts: list[str], after: list[str], spec: PrintSpec) -> pa.RecordBatch:
@@ -185,8 +197,8 @@ def compared(ids: pa.Array, texts: list[str], after: list[str], spec: PrintSpec)
     own, then = whole[: len(texts)], whole[1:] if chain else whole[len(texts) :]
     b = list(zip(*fingerprints(pa.array(edits, pa.large_string()), spec)))
     return pa.RecordBatch.from_arrays([
-        ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edits]),
-        pa.array([told(*x) for x in own]), pa.array([told(*x) for x in b]),
+        ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).digest() for t in edits], pa.binary()),
+        pa.array([packed(*x) for x in own], pa.binary()), pa.array([packed(*x) for x in b], pa.binary()),
         pa.array([likeness(x, y, spec.sketch) for x, y in zip(own, b)], pa.float64()), pa.array([likeness(x, y, spec.sketch) for x, y in zip(own, then)], pa.float64()),
     ], _NAMES)
 
@@ -227,7 +239,7 @@ def compare_with_next(docs: DataFrame, spec: PrintSpec = PrintSpec()) -> DataFra
         if carried is not None:
             yield row("last", *carried)
 
-    told_ = kept(ranged.select("doc_id", "text").mapInArrow(run, f"{_RESULT}, part bigint, edge string, text string"), "prints")
+    told_ = kept(ranged.select("doc_id", "text").mapInArrow(run, f"{_RAW}, part bigint, edge string, text string"), "prints")
     edges = told_.where(F.col("edge").isNotNull()).select("part", "edge", "doc_id", "text")
     # which range follows which, the first one the last: a number for each range
     parts = edges.where("edge = 'first'").select("part")
@@ -241,4 +253,4 @@ def compare_with_next(docs: DataFrame, spec: PrintSpec = PrintSpec()) -> DataFra
             for batch in slices(whole):
                 yield compared(batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("after").to_pylist(), spec)
 
-    return told_.where(F.col("edge").isNull()).select(*_NAMES).unionAll(pairs.mapInArrow(close, _RESULT))
+    return shown(told_.where(F.col("edge").isNull()).select(*_NAMES).unionAll(pairs.mapInArrow(close, _RAW)))
