@@ -37,6 +37,10 @@ WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[0x30:0x3A] = WORD_BYTE[0x61:0x7B] = WORD_BYTE[0x80:] = True
 
 
+#: Settings of worker processes by which freed memory isn't held for later.
+GIVE_BACK = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}
+
+
 def on_workers(spark: SparkSession) -> SparkSession:
     """Lets Python workers started on this machine import the package wherever the driver was started.
     On a cluster the package is deployed with the job (--py-files or the image)."""
@@ -44,6 +48,8 @@ def on_workers(spark: SparkSession) -> SparkSession:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+    # workers live on between stages, so what a stage has freed goes back to the machine
+    spark.sparkContext.environment.update(GIVE_BACK)
     return spark
 
 

@@ -20,6 +20,7 @@ length is cut into as many pieces as it needs.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from functools import cache
@@ -40,23 +41,30 @@ LOOSE = 16
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
 
 
+@cache
+def whole_file(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @cache
 def encoder(path: str, ranks: str):
     """text -> ids of the tokenizers file at `path`.  The same vocabulary as ranks gives the same ids several
-    times faster; texts in which a special token is spelt out go through the file itself."""
+    times faster; texts in which a special token is spelt out go through the file itself, which is loaded for the
+    first of them."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    exact = Tokenizer.from_file(path)
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in special):
-            return exact.encode(text, add_special_tokens=False).ids
+            return whole_file(path).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
