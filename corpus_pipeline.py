@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on everything that the one before kept.  All but the last return the
 columns of `docs`; the last returns the packed pieces.
+
+Defined results, for every stage: an empty table gives an empty result; extra columns, whatever their names, stay as they
+are up to packing; texts are read whole.  Null and empty texts, and rows without an id, stay (near_dedup keeps every row
+without words; mixing takes a row of size 0 as often as its source is taken whole; packing gives it its closing id).
+Repeated rows are kept or dropped each by itself, but for near_dedup, which keeps one.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -57,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The near-duplicate, classifier and packing stages have no SQL form; tests hold each against brute force.
+#: The near-duplicate, classifier and packing stages have no SQL form.  Tests hold near-duplicate links, secrets' base
+#: spans, mixing and packing against brute force operator by operator; the stages in a row are tested by their columns.
 ORACLE_SQL = None
