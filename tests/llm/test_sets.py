@@ -46,7 +46,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute_components(texts):
+def brute_components(texts, least=85):
     sets, root = [shingles(t) for t in texts], list(range(len(texts)))
 
     def find(i):
@@ -57,7 +57,7 @@ def brute_components(texts):
     for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= least * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [(i, len(sets[i]), find(i), find(i) == i) for i in range(len(texts))]
@@ -448,5 +448,72 @@ def test_pipeline(spark, data):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "secrets", "mixing", "packing"]
 
 
+def pipeline_corpus():
+    """Texts of random words: near copies of four degrees, exact copies, toxic ones, ones with a secret, and odd ones."""
+    rng = np.random.default_rng(11)
+    texts = variants(rng, groups=25, each=6, words=60)
+    texts += texts[:12]
+    clean = [" ".join(f"w{x}" for x in rng.integers(0, 3000, int(n))) for n in rng.integers(8, 90, 120)]
+    insults = ["scum", "vermin", "worthless", "idiot", "pathetic", "disgusting"]
+    toxic = [f"{a} you {' '.join(rng.choice(insults, 4))} {b}" for a, b in zip(clean[:60], clean[60:])]
+    secret = [f"{t} password: hunter{i}xyz and AKIA{i:016d}ABCD end" for i, t in enumerate(clean[:20])]
+    return [*texts, *clean, *toxic, *secret, None, "", " "], range(len(texts) + len(clean), len(texts) + len(clean) + len(toxic))
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Each stage against a brute-force form of it, on what the stage before gave."""
+    texts, toxic = pipeline_corpus()
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stages, got = dict(corpus_pipeline.STAGES), {}
+    for name, stage in stages.items():
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        got[name] = docs.collect()
+    by_id = {name: {r.doc_id: r for r in rows} for name, rows in got.items()}
+
+    assert sorted(by_id["toxicity"]) == [i for i in range(len(texts)) if i not in toxic] and len(got["toxicity"]) == len(by_id["toxicity"])
+
+    left = sorted(by_id["toxicity"])
+    alone = [left[i] for i, n, _, first in brute_components([texts[i] for i in left], least=80) if first or not n]
+    assert sorted(r.doc_id for r in got["near_dedup"]) == alone and len(alone) < len(left) - 20
+
+    base = re.compile(r"hunter\d+xyz|AKIA[A-Z0-9]{16,}")  # of this corpus
+    for i in alone:
+        text = by_id["secrets"][i].text
+        assert (text is None) == (texts[i] is None) and not base.search(text or "")
+        parts = re.split(r"(?:password: )?(?:hunter\d+xyz|AKIA[A-Z0-9]+)", texts[i] or "")
+        assert [x.strip() for x in re.split(r"(?:password: )?\[secret\]", text or "")] == [x.strip() for x in parts]
+    assert sorted(r.doc_id for r in got["secrets"]) == alone
+
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    has, takes = collections.Counter(), collections.Counter()
+    for r in got["secrets"]:
+        has[r.source] += size(r.text)
+    for r in got["mixing"]:
+        takes[r.source] += size(r.text)
+        assert r.text == by_id["secrets"][r.doc_id].text
+    names = [*sorted(x for x in has if x is not None), None]
+    for name, target in zip(names, mix.targets([has[x] for x in names], mix.MixSpec())):
+        assert abs(takes[name] - target) <= 1
+    copies = collections.Counter(r.doc_id for r in got["mixing"])
+    assert max(copies.values()) <= 2 and set(copies) <= set(alone)
+
+    encode = packing.whole_file(packing.default_files()[0]).encode
+    ids = {i: np.array([*encode(by_id["secrets"][i].text or "", add_special_tokens=False).ids, 0], "<u4") for i in copies}
+    cover, fills = collections.Counter(), collections.defaultdict(list)
+    for r in got["packing"]:
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(own) == r.length > 0 and zlib.crc32(own.tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        cover.update((r.doc_id, k) for k in range(r.start, r.start + r.length))
+        fills[r.sequence_id].append((r.offset, r.length))
+    assert cover == {(i, k): n for i, n in copies.items() for k in range(len(ids[i]))}
+    for pieces in fills.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 1024
+
+
 def test_queries_are_registered():
     assert [m[1] for n in q.QUERIES if (m := re.match(r"op(\d+)_", n))] == [str(i) for i in range(1, 11)]
