@@ -62,6 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The near-duplicate, classifier and packing stages have no SQL form.  Tests hold near-duplicate links, secrets' base
-#: spans, mixing and packing against brute force operator by operator; the stages in a row are tested by their columns.
+#: The near-duplicate, classifier and packing stages have no SQL form.  A test runs the stages in a row on a small corpus
+#: and holds each against a brute-force form of it.
 ORACLE_SQL = None
