@@ -6,9 +6,10 @@ before, applied until few values are left - marks the local maxima at which phra
 hash of the names in it, and the names are the symbols of the next level.  Where a phrase begins depends on a few
 symbols around it alone, so equal substrings are parsed alike but for their edges, wherever they stand.
 
-A fingerprint is the name of the whole text and the `sketch` smallest distinct names of the phrases of one level;
-the likeness of two fingerprints is the share of common names among the smallest of both (1 for equal whole
-names).
+A fingerprint is the name of the whole text and the `sketch` smallest distinct names of the phrases of one level.
+A text of fewer than `few` such names also keeps those of the level below, as its phrases are too long to show what
+two short texts share.  The likeness of two fingerprints is the share of common names among the smallest of both,
+of both levels where both texts keep them (1 for equal whole names).
 
 For the comparison with the following text, rows are put into ranges of ids, each sorted in its task; what joins a
 range's last row with the next range's first is a row each.  Neither the driver nor a broadcast holds anything that
@@ -36,10 +37,12 @@ from .common import columns, kept, mix, pieces, position_weights, slices, text_b
 
 @dataclass(frozen=True)
 class PrintSpec:
-    """level: the phrases of how many parses are sketched; block_rows: rows of a range."""
+    """level: the phrases of how many parses are sketched; few: below how many names the level before counts too;
+    block_rows: rows of a range."""
 
     level: int = 3
     sketch: int = 64
+    few: int = 12
     block_rows: int = 8192
 
 
@@ -124,41 +127,58 @@ def parse(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, np.searchsorted(unit[starts], at)
 
 
-def fingerprints(column: pa.Array, spec: PrintSpec) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The whole text's name, and the sketch of its phrases' names, for each text."""
+#: The whole text's name, the names of its phrases, and those of the level below where the former are few.
+Print = tuple[np.uint64, np.ndarray, np.ndarray]
+
+
+def smallest(names: np.ndarray, at: np.ndarray, most: int) -> list[np.ndarray]:
+    """The `most` smallest distinct 32-bit names of each sequence names[at[i]:at[i+1]]."""
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at))
+    key = np.unique((row << np.uint64(32)) | (mix(names) >> np.uint64(32)).astype(np.uint64))
+    cut = np.searchsorted(key, np.arange(len(at), dtype=np.uint64) << np.uint64(32))
+    low = key & np.uint64(0xFFFFFFFF)
+    return [low[a : min(b, a + most)] for a, b in zip(cut[:-1], cut[1:])]
+
+
+def fingerprints(column: pa.Array, spec: PrintSpec) -> list[Print]:
+    """The fingerprint of each text."""
     symbols, at = text_buffer(column)
     whole, named = np.zeros(len(column), np.uint64), np.diff(at) == 0
-    sketched, level = None, 0
+    below, sketched, level = None, None, 0
     while sketched is None or not named.all():
         symbols, at = parse(symbols, at)
         level += 1
+        if level == spec.level - 1:
+            below = symbols, at
         if level == spec.level:
             sketched = symbols, at
         one = ~named & (np.diff(at) == 1)  # a text is named at the first level where it is one phrase
         whole[one] = symbols[at[:-1][one]]
         named |= one
-    names, at = sketched
-    row = np.repeat(np.arange(len(whole)), np.diff(at))
-    short = (mix(names) >> np.uint64(32)).astype(np.uint64)
-    key = np.unique((row.astype(np.uint64) << np.uint64(32)) | short)
-    cut = np.searchsorted(key, np.arange(len(whole) + 1, dtype=np.uint64) << np.uint64(32))
-    low = key & np.uint64(0xFFFFFFFF)
-    return whole, [low[a : min(b, a + spec.sketch)] for a, b in zip(cut[:-1], cut[1:])]
+    names = smallest(*sketched, spec.sketch)
+    if below is None:
+        return list(zip(whole, names, [names[0][:0]] * len(names)))
+    size = np.where([len(x) < spec.few for x in names], np.diff(below[1]), 0)
+    short = below[0][np.repeat(size > 0, np.diff(below[1]))]
+    return list(zip(whole, names, smallest(short, np.concatenate([[0], np.cumsum(size)]), spec.sketch)))
 
 
-def told(whole: np.uint64, sketch: np.ndarray) -> str:
-    return f"{int(whole):016x}:" + sketch.astype(">u4").tobytes().hex()
+def told(print_: Print) -> str:
+    whole, *levels = print_
+    return ":".join([f"{int(whole):016x}", *[x.astype(">u4").tobytes().hex() for x in levels if x is levels[0] or len(x)]])
 
 
-def likeness(a: tuple[np.uint64, np.ndarray], b: tuple[np.uint64, np.ndarray], sketch: int) -> float:
+def likeness(a: Print, b: Print, sketch: int) -> float:
     """Share of common names among the `sketch` smallest names of both."""
     if a[0] == b[0]:
         return 1.0
     if not len(a[1]) or not len(b[1]):
         return 0.0
-    both = np.union1d(a[1], b[1])[:sketch]
-    common = np.intersect1d(a[1], b[1], assume_unique=True)
-    return float(np.isin(both, common, assume_unique=True).mean())
+    one, two = a[1], b[1]
+    if len(a[2]) and len(b[2]):
+        one, two = np.union1d(one, a[2]), np.union1d(two, b[2])
+    both = np.union1d(one, two)[:sketch]
+    return float(np.isin(both, np.intersect1d(one, two, assume_unique=True), assume_unique=True).mean())
 
 
 def print_texts(docs: DataFrame, spec: PrintSpec = PrintSpec()) -> DataFrame:
@@ -166,8 +186,7 @@ def print_texts(docs: DataFrame, spec: PrintSpec = PrintSpec()) -> DataFrame:
     def run(batches):
         for whole_batch in batches:
             for batch in slices(whole_batch):
-                whole, sketch = fingerprints(batch.column("text"), spec)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([told(w, s) for w, s in zip(whole, sketch)], pa.string())], ["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([told(x) for x in fingerprints(batch.column("text"), spec)], pa.string())], ["doc_id", "fingerprint"])
 
     return columns(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, fingerprint string")
 
@@ -179,13 +198,21 @@ _RAW = _RESULT.replace("string", "binary")
 _TYPES = [{"bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[x.split()[1]] for x in _RAW.split(", ")]
 
 
-def packed(whole: np.uint64, sketch: np.ndarray) -> bytes:
-    return int(whole).to_bytes(8, "big") + sketch.astype(">u4").tobytes()
+def packed(print_: Print) -> bytes:
+    """The whole name, how many names of the first kind (2 bytes), and the names of both kinds."""
+    whole, names, below = print_
+    return int(whole).to_bytes(8, "big") + len(names).to_bytes(2, "big") + names.astype(">u4").tobytes() + below.astype(">u4").tobytes()
 
 
 def shown(rows: DataFrame) -> DataFrame:
     """Rows with digests and fingerprints as text."""
-    text = lambda c: F.concat(F.lower(F.hex(F.substring(c, 1, 8))), F.lit(":"), F.lower(F.hex(F.substring(c, 9, 2**31 - 1)))).alias(c)
+
+    def text(c: str):
+        name = lambda start, n: F.lower(F.hex(F.substring(c, start, n)))
+        size = F.conv(F.hex(F.substring(c, 9, 2)), 16, 10).cast("int") * 4
+        rest = F.lower(F.hex(F.substring(c, size + 11, F.lit(2**31 - 1))))
+        return F.concat(name(1, 8), F.lit(":"), name(11, size), F.when(rest != "", F.concat(F.lit(":"), rest)).otherwise(F.lit(""))).alias(c)
+
     return rows.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
 
 
@@ -193,12 +220,12 @@ def compared(ids: pa.Array, texts: list[str], after: list[str], spec: PrintSpec)
     """Results of texts each followed by `after`."""
     edits = [t[: len(t) - len(t) // 2] + a[: len(t) // 2] for t, a in zip(texts, after)]
     chain = after[:-1] == texts[1:]  # a run of rows: all but one of the following texts are there already
-    whole = list(zip(*fingerprints(pa.array([*texts, after[-1]] if chain else [*texts, *after], pa.large_string()), spec)))
+    whole = fingerprints(pa.array([*texts, after[-1]] if chain else [*texts, *after], pa.large_string()), spec)
     own, then = whole[: len(texts)], whole[1:] if chain else whole[len(texts) :]
-    b = list(zip(*fingerprints(pa.array(edits, pa.large_string()), spec)))
+    b = fingerprints(pa.array(edits, pa.large_string()), spec)
     return pa.RecordBatch.from_arrays([
         ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).digest() for t in edits], pa.binary()),
-        pa.array([packed(*x) for x in own], pa.binary()), pa.array([packed(*x) for x in b], pa.binary()),
+        pa.array([packed(x) for x in own], pa.binary()), pa.array([packed(x) for x in b], pa.binary()),
         pa.array([likeness(x, y, spec.sketch) for x, y in zip(own, b)], pa.float64()), pa.array([likeness(x, y, spec.sketch) for x, y in zip(own, then)], pa.float64()),
     ], _NAMES)
 

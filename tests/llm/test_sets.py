@@ -327,11 +327,28 @@ def test_parse_is_locally_consistent():
 
 
 def test_equal_texts_equal_prints_whatever_stands_beside():
-    alone = [prints.told(*list(zip(*prints.fingerprints(pa.array([t]), prints.PrintSpec())))[0]) for t in ("", "a", "abc abc abc", "aaaa", "the quick brown fox")]
-    together = [prints.told(*x) for x in zip(*prints.fingerprints(pa.array(["", "a", "abc abc abc", "aaaa", "the quick brown fox", "zz" * 400]), prints.PrintSpec()))]
+    alone = [prints.told(prints.fingerprints(pa.array([t]), prints.PrintSpec())[0]) for t in ("", "a", "abc abc abc", "aaaa", "the quick brown fox")]
+    together = [prints.told(x) for x in prints.fingerprints(pa.array(["", "a", "abc abc abc", "aaaa", "the quick brown fox", "zz" * 400]), prints.PrintSpec())]
     assert together[:5] == alone and len(set(alone)) == 5
 
 
+def test_short_texts_share_names_of_the_level_below():
+    rng, spec = np.random.default_rng(8), prints.PrintSpec()
+    text = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    kept = [text(30) for _ in range(200)]
+    first, second, other = ([k + text(25) for k in kept], [k + text(25) for k in kept], [text(55) for _ in kept])
+    found = [prints.fingerprints(pa.array(x), spec) for x in (first, second, other)]
+    near, far = ([prints.likeness(a, b, spec.sketch) for a, b in zip(found[0], f)] for f in found[1:])
+    assert np.mean(np.array(near) == 0) < 0.05 and np.mean(near) > 0.2 and np.mean(far) < 0.02
+    for a, b, t in zip(found[0], found[1], first):  # by sets, and the text form holds both kinds
+        if len(a[1]) < spec.few and len(b[1]) < spec.few:
+            x, y = ({*p[1].tolist(), *p[2].tolist()} for p in (a, b))
+            assert len(a[2]) and prints.likeness(a, b, spec.sketch) == len(x & y) / len(x | y)
+            assert [len(p) for p in prints.told(a).split(":")] == [16, 8 * len(a[1]), 8 * len(a[2])]
+    long = prints.fingerprints(pa.array([text(4000)]), spec)[0]
+    assert not len(long[2]) and prints.told(long).count(":") == 1
+
+
 # language-model scores
 
 
